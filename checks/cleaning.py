@@ -185,7 +185,7 @@ def missing_profile(spark, sf_dir):
 
 @check("value_profile", f"{WITH_CLEAN} {distribution_sql(fv.REPORT_FIELDS, 20, 'cleaned')}")
 def value_profile(spark, sf_dir):
-    cleaned = C.clean_table(raw_discharges(spark, sf_dir), SPEC)
+    cleaned = C.clean_table(raw_discharges(spark, sf_dir), SPEC, fv.REPORT_FIELDS)
     return Q.value_distribution(cleaned, fv.REPORT_FIELDS, 20)
 
 
@@ -213,8 +213,10 @@ def report_sql(groups: str) -> str:
 
 @check("quality_report", f"{WITH_CLEAN} {report_sql('g')}")
 def quality_report(spark, sf_dir):
-    copies = Q.count_copies(C.clean_table(raw_discharges(spark, sf_dir), SPEC))
-    return Q.quality_report(copies, SPEC.marked, SPEC.nullable, fv.REPORT_FIELDS)
+    path = scratch_path(spark, "counted")
+    T.write_table(Q.count_copies(C.clean_table(raw_discharges(spark, sf_dir), SPEC)), path)
+    stored = spark.read.parquet(path)
+    return Q.quality_report(stored, SPEC.marked, SPEC.nullable, fv.REPORT_FIELDS)
 
 
 # Returned lines twice, so that the files hold copies of rows.

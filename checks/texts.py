@@ -322,7 +322,10 @@ _SOURCE_SQL = (
 def source_numbers(spark, sf_dir):
     rows = reports_with_source(spark, sf_dir)
     ns = G.source_numbers(F.col("source"), rows.schema["source"].dataType)
-    return rows.select("o_orderkey", F.explode(ns).alias("number"))
+    # The array gets its own projection: Spark 4.1 prunes the wrong columns when it pulls
+    # struct fields out of an expression that stands directly inside explode.
+    found = rows.select("o_orderkey", ns.alias("ns"))
+    return found.select("o_orderkey", F.explode("ns").alias("number"))
 
 
 def match_sql(a: str, b: str) -> str:

@@ -1,7 +1,7 @@
 """String cleaning as column expressions.
 
-Each builder uses its input once, so the regular expressions run once per value
-inside whole-stage code generation; nothing here starts a Python worker.
+The builders keep each regular expression to one evaluation per value, and nothing here
+starts a Python worker.
 """
 
 from __future__ import annotations
@@ -36,6 +36,10 @@ def strip_space(c: Column) -> Column:
     return F.regexp_replace(c, f"^{WHITESPACE}+|{WHITESPACE}+$", "")
 
 
+# Printable ASCII words with single blanks between them: nothing to collapse or trim.
+_TIDY = r"^[!-~]++(?: [!-~]++)*+\z"
+
+
 def clean_text(
     c: Column,
     unknown: str = UNKNOWN,
@@ -43,13 +47,17 @@ def clean_text(
 ) -> Column:
     """Collapse white space; null and placeholder strings become ``unknown``.
 
-    Codes use the same rule: they stay strings, so leading zeros survive.
+    Codes use the same rule: they stay strings, so leading zeros survive. Most values are
+    tidy already and pay for one cheap test only; the rest take two regular expressions.
     """
-    words = "|".join(re.escape(p.lower()) for p in placeholders if p)
+    words = [p.lower() for p in placeholders if p]
     # An empty value matches the pattern too, hence the "?" after the group.
-    missing = rf"^(?i:{words})?\z"
+    missing = rf"^(?i:{'|'.join(re.escape(w) for w in words)})?\z"
     marked = F.regexp_replace(collapse_space(c), missing, unknown.replace("$", r"\$"))
-    return F.coalesce(marked, F.lit(unknown))
+    tidy = F.when(F.lower(c).isin(words), unknown).otherwise(c)
+    return F.when(F.rlike(c, F.lit(_TIDY)), tidy).otherwise(
+        F.coalesce(marked, F.lit(unknown))
+    )
 
 
 def _lookup(key: Column, mapping: Mapping[str, str], default: str) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -46,7 +46,7 @@ class CleaningSpec:
 
     def rule(self, name: str) -> Column:
         """The cleaned column, integers still as double; other columns pass through."""
-        c = F.col(f"`{name}`")
+        c = _col(name)
         if name in self.maps:
             return map_values(c, self.maps[name], self.unknown)
         if name in self.domains:
@@ -69,11 +69,40 @@ def normalise_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*names)
 
 
-def clean_table(df: DataFrame, spec: CleaningSpec) -> DataFrame:
-    """All columns in projections over one scan; absent columns are skipped.
+# From this many columns on, a group is cleaned as one array.
+_WIDE = 4
 
-    Integers take two steps, so that each string is parsed once.
+
+def clean_table(
+    df: DataFrame, spec: CleaningSpec, columns: Sequence[str] | None = None
+) -> DataFrame:
+    """Clean the columns that are present, or only ``columns`` (normalised names).
+
+    One expression per column would give a generated method far beyond the size that the
+    JVM compiles, and the whole scan would run in its interpreter. So the columns of a wide
+    group pass through one array expression. An array is computed as a whole: name the
+    ``columns`` when only some are wanted.
     """
     named = normalise_columns(df)
-    parsed = named.select(*[spec.rule(c).alias(c) for c in named.columns])
-    return parsed.withColumns({c: whole(F.col(c)) for c in spec.ints if c in parsed.columns})
+    if columns is not None:
+        named = named.select(*columns)
+    place: dict[str, Column] = {}
+    arrays: dict[str, Column] = {}
+    steps = {
+        "text": (spec.marked, lambda c: clean_text(c, spec.unknown, spec.placeholders)),
+        "ints": (spec.ints, parse_number),
+        "money": (spec.money, to_money),
+    }
+    for group, (members, rule) in steps.items():
+        present = [c for c in named.columns if c in members]
+        if len(present) >= _WIDE:
+            arrays[f"__{group}"] = F.transform(F.array(*[_col(c) for c in present]), rule)
+            place |= {c: F.col(f"__{group}")[i] for i, c in enumerate(present)}
+    grouped = named.withColumns(arrays)
+    flat = grouped.select(*[place.get(c, spec.rule(c)).alias(c) for c in named.columns])
+    # Integers take a second step, so that each string is parsed once.
+    return flat.withColumns({c: whole(_col(c)) for c in spec.ints if c in flat.columns})
+
+
+def _col(name: str) -> Column:
+    return F.col(f"`{name}`")
