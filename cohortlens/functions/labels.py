@@ -1,7 +1,7 @@
 """Keyword tests on a text column.
 
-A lexicon is a small spec, so its words become literals in one projection: no join, no
-shuffle, and the cost per row is one substring search per word.
+A lexicon is a small spec, so it becomes one array literal that array functions search: no
+join, no shuffle, a short plan, and one substring search per word and row.
 
 ``match="substring"`` finds a word anywhere, as in "ed" in "need". ``match="token"`` wants
 words in Latin letters or digits to stand alone; words in other scripts, which are not
@@ -10,10 +10,9 @@ separated by blanks, still match anywhere.
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Mapping, Sequence
-from functools import reduce
-from operator import add, or_
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,11 +22,21 @@ from cohortlens.functions.text import collapse_space, strip_space
 # One text is searched for each word, so a lexicon beyond this size needs another design.
 MAX_WORDS = 2_000
 
+def let(values: Mapping[str, Column], body: Callable[[Column], Column]) -> Column:
+    """``body`` over a struct of ``values``, each computed once per row.
+
+    With a chain of projections instead, a filter on the result would be pushed below them
+    and every mention of a value replaced by its whole expression, step after step.
+    """
+    bound = F.array(F.struct(*[c.alias(k) for k, c in values.items()]))
+    return F.element_at(F.transform(bound, body), 1)
+
+
 _NOT_WORD = r"[^a-z0-9_+]+"
 
 
 def searchable(text: Column, match: str = "substring") -> Column:
-    """The text in the form that ``has_word`` searches; compute it once per row."""
+    """The text in the form that ``has_word`` searches; compute it once per row (``let``)."""
     lowered = F.lower(text)
     if match == "substring":
         return lowered
@@ -38,48 +47,98 @@ def searchable(text: Column, match: str = "substring") -> Column:
     return F.concat(lowered, F.lit("\n "), words, F.lit(" "))
 
 
-def has_word(prepared: Column, word: str, match: str = "substring") -> Column:
+def word_weight(word: str) -> float:
+    """Longer words say more: a quarter per character, at most 1."""
+    return min(1.0, len(word) / 4)
+
+
+def _needle(word: str, match: str) -> str:
+    """What ``searchable`` text contains when the word occurs in it."""
     word = word.lower()
     if match == "token" and word.isascii():
-        word = f" {re.sub(_NOT_WORD, ' ', word).strip()} "
-    return F.contains(prepared, F.lit(word))
+        return f" {re.sub(_NOT_WORD, ' ', word).strip()} "
+    return word
 
 
-def word_weight(word: str) -> float:
-    """Longer words say more: a quarter per character, at most 1."""
-    return min(1.0, len(word) / 4)
+_WORD = "struct<word: string, needle: string, weight: double>"
 
 
-def check_size(words: Sequence[str]) -> None:
+def _word(word: str, match: str) -> dict:
+    return {"word": word, "needle": _needle(word, match), "weight": word_weight(word)}
+
+
+def _literal(value: list, schema: str) -> Column:
+    """A nested literal; the optimizer parses the JSON once, when it folds constants."""
+    return F.from_json(F.lit(json.dumps(value)), schema)
+
+
+def check_size(words: Sequence[object]) -> None:
     if len(words) > MAX_WORDS:
         raise ValueError(f"lexicon has {len(words)} words, more than {MAX_WORDS}")
 
 
+def _words(words: Iterable[str], match: str) -> Column:
+    entries = [_word(w, match) for w in words]
+    check_size(entries)
+    return _literal(entries, f"array<{_WORD}>")
+
+
+def _lexicon(lexicon: Mapping[str, Iterable[str]], match: str) -> Column:
+    entries = [
+        {"label": k, "words": [_word(w, match) for w in ws]} for k, ws in lexicon.items()
+    ]
+    check_size([w for e in entries for w in e["words"]])
+    return _literal(entries, f"array<struct<label: string, words: array<{_WORD}>>>")
+
+
+def _occurs(prepared: Column) -> Callable[[Column], Column]:
+    return lambda w: F.contains(prepared, w["needle"])
+
+
+def _total_weight(found: Column) -> Column:
+    return F.aggregate(found, F.lit(0.0), lambda total, w: total + w["weight"])
+
+
 def any_word(prepared: Column, words: Sequence[str], match: str = "substring") -> Column:
-    return reduce(or_, [has_word(prepared, w, match) for w in words])
+    return F.exists(_words(words, match), _occurs(prepared))
 
 
 def hit_score(prepared: Column, words: Sequence[str], match: str = "substring") -> Column:
     """Summed weight of the words that occur."""
-    check_size(words)
-    return reduce(
-        add, [F.when(has_word(prepared, w, match), word_weight(w)).otherwise(0.0) for w in words]
-    )
+    return _total_weight(F.filter(_words(words, match), _occurs(prepared)))
 
 
-def hits(prepared: Column, words: Sequence[str], match: str = "substring") -> Column:
-    """The words that occur, in lexicon order."""
-    return F.array_compact(F.array(*[F.when(has_word(prepared, w, match), w) for w in words]))
+def lexicon_hits(
+    prepared: Column, lexicon: Mapping[str, Sequence[str]], match: str = "substring"
+) -> Column:
+    """(label, score, hits) for the labels that occur; hits in lexicon order."""
+
+    def found(entry: Column) -> Column:
+        words = F.filter(entry["words"], _occurs(prepared))
+        return F.struct(entry["label"].alias("label"), words.alias("words"))
+
+    def shown(entry: Column) -> Column:
+        words = entry["words"]
+        return F.struct(
+            entry["label"].alias("label"),
+            _total_weight(words).alias("score"),
+            F.transform(words, lambda w: w["word"]).alias("hits"),
+        )
+
+    labels = F.transform(_lexicon(lexicon, match), found)
+    return F.transform(F.filter(labels, lambda e: F.size(e["words"]) > 0), shown)
 
 
 def mentions(
     prepared: Column, lexicon: Mapping[str, Sequence[str]], match: str = "substring"
 ) -> Column:
     """The labels of which at least one word occurs, in lexicon order."""
-    check_size([w for ws in lexicon.values() for w in ws])
-    return F.array_compact(
-        F.array(*[F.when(any_word(prepared, ws, match), k) for k, ws in lexicon.items()])
-    )
+    return _labels(_lexicon(lexicon, match), prepared)
+
+
+def _labels(entries: Column, prepared: Column) -> Column:
+    named = F.filter(entries, lambda e: F.exists(e["words"], _occurs(prepared)))
+    return F.transform(named, lambda e: e["label"])
 
 
 Values = Mapping[str, Mapping[str, Sequence[str]]]
@@ -88,18 +147,15 @@ Values = Mapping[str, Mapping[str, Sequence[str]]]
 def best_synonym(prepared: Column, values: Values, match: str = "substring") -> Column:
     """(dimension, value) of the longest word that occurs; the earlier one wins a tie."""
     entries = [
-        (w, dim, value) for dim, by in values.items() for value, ws in by.items() for w in ws
+        {"dimension": dim, "value": value, "word": w, "needle": _needle(w, match)}
+        for dim, by in values.items()
+        for value, ws in by.items()
+        for w in ws
     ]
-    check_size([w for w, _, _ in entries])
-    entries.sort(key=lambda e: len(e[0]), reverse=True)
-    found = [
-        F.when(
-            has_word(prepared, w, match),
-            F.struct(F.lit(dim).alias("dimension"), F.lit(value).alias("value")),
-        )
-        for w, dim, value in entries
-    ]
-    return F.coalesce(*found)
+    check_size(entries)
+    entries.sort(key=lambda e: len(e["word"]), reverse=True)
+    schema = "array<struct<dimension: string, value: string, word: string, needle: string>>"
+    return F.get(F.filter(_literal(entries, schema), _occurs(prepared)), F.lit(0))
 
 
 def filters_found(
@@ -115,26 +171,38 @@ def filters_found(
     Several values of one field become one ``in`` filter; as separate ``eq`` filters they
     would exclude each other.
     """
-    found = []
-    for dim, by in values.items():
-        named = mentions(prepared, by, match)
-        found.append(_filter(dim, named))
+    entries = [
+        {
+            "field": dim,
+            "named": [
+                {"label": v, "words": [_word(w, match) for w in ws]} for v, ws in by.items()
+            ],
+        }
+        for dim, by in values.items()
+    ]
+    check_size([w for e in entries for n in e["named"] for w in n["words"]])
+    schema = (
+        "array<struct<field: string, named: array<struct<label: string, "
+        f"words: array<{_WORD}>>>>>"
+    )
+
+    def named(entry: Column) -> Column:
+        return F.struct(
+            entry["field"].alias("field"), _labels(entry["named"], prepared).alias("values")
+        )
+
+    found = F.transform(_literal(entries, schema), named)
     if year_field:
         year = F.regexp_extract(text, f"({year_pattern})", 1)
-        found.append(_filter(year_field, F.when(year != "", F.array(year))))
-    return F.array_compact(F.array(*found))
-
-
-def _filter(name: str, values: Column) -> Column:
-    n = F.size(values)
-    return F.when(
-        n > 0,
-        F.struct(
-            F.lit(name).alias("field"),
-            F.when(n > 1, "in").otherwise("eq").alias("op"),
-            values.alias("values"),
-        ),
-    )
+        years = F.when(year != "", F.array(year)).otherwise(F.array().cast("array<string>"))
+        in_year = F.struct(F.lit(year_field).alias("field"), years.alias("values"))
+        found = F.concat(found, F.array(in_year))
+
+    def shown(entry: Column) -> Column:
+        op = F.when(F.size(entry["values"]) > 1, "in").otherwise("eq")
+        return F.struct(entry["field"].alias("field"), op.alias("op"), entry["values"].alias("values"))
+
+    return F.transform(F.filter(found, lambda e: F.size(e["values"]) > 0), shown)
 
 
 def slot(text: Column, pattern: str) -> Column:

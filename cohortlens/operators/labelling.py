@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,29 +21,27 @@ def lexicon_scores(
 
     Rows come out of an inline array of the row itself, so nothing is shuffled.
     """
-    prepared = df.select(*keep, L.searchable(F.col(text), match).alias("_text"))
-    entry = F.array(
-        *[
-            F.struct(
-                F.lit(label).alias("label"),
-                L.hit_score(F.col("_text"), words, match).alias("score"),
-                L.hits(F.col("_text"), words, match).alias("hits"),
-            )
-            for label, words in lexicon.items()
-        ]
+    found = df.select(
+        *keep,
+        _over_text(text, match, lambda t: L.lexicon_hits(t["low"], lexicon, match)).alias(
+            "_found"
+        ),
     )
-    return prepared.select(*keep, F.inline(F.filter(entry, lambda e: e["score"] > 0)))
+    return found.select(*keep, F.inline("_found"))
+
+
+def _over_text(text: str, match: str, body: Callable[[Column], Column]) -> Column:
+    return L.let({"low": L.searchable(F.col(text), match)}, body)
 
 
 def with_best_synonym(
     df: DataFrame, text: str, values: L.Values, match: str = "substring"
 ) -> DataFrame:
     """Columns ``dimension`` and ``value``; null where no word occurs."""
-    prepared = df.withColumn("_text", L.searchable(F.col(text), match))
-    found = prepared.withColumn("_best", L.best_synonym(F.col("_text"), values, match))
-    return found.withColumns(
+    best = _over_text(text, match, lambda t: L.best_synonym(t["low"], values, match))
+    return df.withColumn("_best", best).withColumns(
         {"dimension": F.col("_best.dimension"), "value": F.col("_best.value")}
-    ).drop("_text", "_best")
+    ).drop("_best")
 
 
 def normalise_values(df: DataFrame, dimension: str, raw: str, values: L.Values) -> DataFrame:
@@ -71,9 +69,11 @@ def with_mentions(
     df: DataFrame, text: str, match: str = "substring", **lexicons: Mapping[str, Sequence[str]]
 ) -> DataFrame:
     """One array column of labels per lexicon."""
-    prepared = df.withColumn("_text", L.searchable(F.col(text), match))
-    found = {k: L.mentions(F.col("_text"), lex, match) for k, lex in lexicons.items()}
-    return prepared.withColumns(found).drop("_text")
+
+    def found(lexicon: Mapping[str, Sequence[str]]) -> Column:
+        return _over_text(text, match, lambda t: L.mentions(t["low"], lexicon, match))
+
+    return df.withColumns({name: found(lexicon) for name, lexicon in lexicons.items()})
 
 
 def with_filters(
@@ -85,11 +85,11 @@ def with_filters(
     match: str = "substring",
 ) -> DataFrame:
     """Column ``filters``."""
-    prepared = df.withColumn("_text", L.searchable(F.col(text), match))
-    found = L.filters_found(
-        F.col(text), F.col("_text"), values, year_field, year_pattern, match
-    )
-    return prepared.withColumn("filters", found).drop("_text")
+
+    def found(t: Column) -> Column:
+        return L.filters_found(F.col(text), t["low"], values, year_field, year_pattern, match)
+
+    return df.withColumn("filters", _over_text(text, match, found))
 
 
 def with_slots(df: DataFrame, text: str, **patterns: str) -> DataFrame:
@@ -111,7 +111,3 @@ def wrong_labels(labelled: DataFrame, expected: str, actual: str) -> DataFrame:
     """The rows whose label is not the expected one."""
     return labelled.filter(~F.col(expected).eqNullSafe(F.col(actual)))
 
-
-def condition_count(conditions: Sequence[Column]) -> Column:
-    """How many of the conditions hold."""
-    return sum((c.cast("int") for c in conditions), F.lit(0))

@@ -1,19 +1,19 @@
 """Intent labels for questions about the discharge table.
 
-``label_intents`` turns the decision table of the domain into three projections:
-signals (lexicon scores and pattern flags), candidate scores, and the choice. Every row is
-handled on its own; there is no join and no shuffle.
+``label_intents`` turns the decision table of the domain into three steps: signals (lexicon
+scores and pattern flags), candidate scores, and the choice. Every row is handled on its own;
+there is no join and no shuffle.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions import labels as L
-from cohortlens.operators.labelling import condition_count
 from cohortlens.presets import fixed_values as fv
 
 
@@ -21,14 +21,14 @@ def _cap(c: Column, top: float = 1.0) -> Column:
     return F.least(c, F.lit(top))
 
 
-def _signals(df: DataFrame, match: str) -> DataFrame:
-    """What occurs in the text: scores per lexicon, counts of names, pattern flags."""
-    low, text = F.col("_low"), F.col("_text")
+def _signals(t: Column, match: str) -> dict[str, Column]:
+    """What occurs in a text: scores per lexicon, counts of names, pattern flags."""
+    low, text = t["low"], t["text"]
     lexicons = {"metadata": fv.METADATA_WORDS, "overview": fv.OVERVIEW_WORDS}
     lexicons |= fv.ANALYSIS_WORDS
-    scores = {f"_s_{k}": L.hit_score(low, ws, match) for k, ws in lexicons.items()}
+    scores = {f"s_{k}": L.hit_score(low, ws, match) for k, ws in lexicons.items()}
     counts = {
-        f"_n_{k}": condition_count([L.any_word(low, ws, match) for ws in lexicon.values()])
+        k: F.size(L.mentions(low, lexicon, match))
         for k, lexicon in [("dims", fv.DIMENSION_WORDS), ("metrics", fv.METRIC_WORDS)]
     }
     patterns = {
@@ -38,7 +38,7 @@ def _signals(df: DataFrame, match: str) -> DataFrame:
         "disease": fv.DISEASE_PATTERN,
         "treatment": fv.TREATMENT_PATTERN,
     }
-    flags = {f"_is_{k}": F.regexp_like(text, F.lit(p)) for k, p in patterns.items()}
+    flags = {k: F.regexp_like(text, F.lit(p)) for k, p in patterns.items()}
     words = {
         "off_topic": fv.OFF_TOPIC_WORDS,
         "verb": fv.PREDICT_VERBS,
@@ -46,21 +46,20 @@ def _signals(df: DataFrame, match: str) -> DataFrame:
         "readmission": fv.READMISSION_NOUNS,
         "counting": [fv.COUNTING_WORD],
     }
-    flags |= {f"_is_{k}": L.any_word(low, ws, match) for k, ws in words.items()}
-    return df.withColumns(scores | counts | flags)
+    flags |= {k: L.any_word(low, ws, match) for k, ws in words.items()}
+    return scores | counts | flags | {"is_empty": text == ""}
 
 
-def _candidates() -> dict[str, Column]:
+def _candidates(x: Column) -> dict[str, Column]:
     """Score per intent, null where the intent has no signal; in order of preference."""
-    s = {k: F.col(f"_s_{k}") for k in ("metadata", "overview", *fv.ANALYSIS_WORDS)}
-    dims, metrics = F.col("_n_dims"), F.col("_n_metrics")
-    grouping, grouped_count = F.col("_is_grouping"), F.col("_is_grouped_count")
-    verb = F.col("_is_verb")
+    s = {k: x[f"s_{k}"] for k in ("metadata", "overview", *fv.ANALYSIS_WORDS)}
+    dims, metrics = x["dims"], x["metrics"]
+    grouping, grouped_count, verb = x["grouping"], x["grouped_count"], x["verb"]
 
     from_overview = F.when(
         (s["overview"] > 0) & ~grouped_count, _cap(s["overview"] + fv.BONUS_OVERVIEW)
     ).when(
-        (s["overview"] > 0) & F.col("_is_counting") & (dims == 0),
+        (s["overview"] > 0) & x["counting"] & (dims == 0),
         _cap(s["overview"] + fv.BONUS_COUNTING),
     )
     from_statistics = F.when(
@@ -69,7 +68,7 @@ def _candidates() -> dict[str, Column]:
 
     prediction = F.when(
         (s["cost_prediction"] > 0) & verb, _cap(s["cost_prediction"] + fv.BONUS_PREDICTION)
-    ).when(verb & F.col("_is_cost"), fv.VERB_AND_NOUN)
+    ).when(verb & x["cost"], fv.VERB_AND_NOUN)
 
     named = _cap(dims * fv.PER_DIMENSION, fv.DIMENSIONS_CAP)
     measured = _cap(metrics * fv.PER_METRIC, fv.METRICS_CAP) + fv.GROUPING_BONUS
@@ -98,48 +97,43 @@ def _answer(intent: str, confidence: Column | float) -> Column:
     return F.struct(F.lit(intent).alias("intent"), level.cast("double").alias("confidence"))
 
 
-def _choice(min_confidence: float) -> Column:
+def _choice(x: Column, points: Mapping[str, Column], min_confidence: float) -> Column:
     """The candidate that wins, after the overrides, as (intent, confidence)."""
-    points = {k: F.col(f"_p_{k}") for k in fv.INTENTS}
     top = F.greatest(*points.values())
-
     # The highest score wins; on a tie the candidate that comes first.
+    leads = {k: points[k] == top for k in fv.INTENTS}
     by_score = reduce(
-        lambda chain, k: chain.when(points[k] == top, _answer(k, points[k])), fv.INTENTS, F
+        lambda chain, k: chain.when(leads[k], _answer(k, points[k])), fv.INTENTS, F
     )
-    treated = (
-        F.col("_is_disease")
-        & F.col("_is_treatment")
-        & ~(F.col("_is_plain_grouping") & F.col("_is_grouping"))
+    before = [leads[k] for k in fv.INTENTS[: fv.INTENTS.index("association_analysis")]]
+    leads_association = F.coalesce(leads["association_analysis"], F.lit(False)) & ~reduce(
+        lambda a, b: a | b, [F.coalesce(c, F.lit(False)) for c in before]
     )
-    asked_cost = F.col("_is_verb") & F.col("_is_cost") & points["cost_prediction"].isNotNull()
-    returns = F.col("_is_readmission")
-    readmission = F.coalesce(points["readmission_risk"], F.lit(fv.READMISSION_ALONE))
-    association = F.coalesce(points["association_analysis"], F.lit(0.0))
-    # The disease rule looks at what the earlier rules chose and leaves associations alone.
-    already = ~returns & ~asked_cost & (by_score["intent"] == "association_analysis")
 
+    asked_cost = x["verb"] & x["cost"]
+    returns = x["readmission"]
+    treated = x["disease"] & x["treatment"] & ~(x["plain_grouping"] & x["grouping"])
+    # The disease rule looks at what the earlier rules chose and leaves associations alone.
+    already = ~returns & ~asked_cost & leads_association
+    readmission = F.coalesce(points["readmission_risk"], F.lit(fv.READMISSION_ALONE))
+    association = F.greatest(points["association_analysis"], F.lit(fv.DISEASE_AND_TREATMENT))
     chosen = (
-        F.when(
-            treated & ~already,
-            _answer(
-                "association_analysis",
-                F.greatest(association, F.lit(fv.DISEASE_AND_TREATMENT)),
-            ),
-        )
+        F.when(treated & ~already, _answer("association_analysis", association))
         .when(returns, _answer("readmission_risk", readmission))
         .when(asked_cost, _answer("cost_prediction", points["cost_prediction"]))
         .otherwise(by_score)
     )
+
+    def accepted(best: Column) -> Column:
+        low = best["best"]["confidence"] < min_confidence
+        unsure = _answer(fv.UNSUPPORTED, best["best"]["confidence"])
+        return F.when(low, unsure).otherwise(best["best"])
+
     return (
-        F.when(F.col("_text") == "", _answer(fv.UNSUPPORTED, fv.CONFIDENCE_EMPTY))
-        .when(F.col("_is_off_topic"), _answer(fv.UNSUPPORTED, fv.CONFIDENCE_OFF_TOPIC))
+        F.when(x["is_empty"], _answer(fv.UNSUPPORTED, fv.CONFIDENCE_EMPTY))
+        .when(x["off_topic"], _answer(fv.UNSUPPORTED, fv.CONFIDENCE_OFF_TOPIC))
         .when(top.isNull(), _answer(fv.UNSUPPORTED, fv.CONFIDENCE_NO_SIGNAL))
-        .when(
-            chosen["confidence"] < min_confidence,
-            _answer(fv.UNSUPPORTED, chosen["confidence"]),
-        )
-        .otherwise(chosen)
+        .otherwise(L.let({"best": chosen}, accepted))
     )
 
 
@@ -150,14 +144,23 @@ def label_intents(
     match: str = "substring",
 ) -> DataFrame:
     """Columns ``intent`` and ``confidence`` for every row of a text column."""
-    prepared = df.withColumn("_text", L.normalise_query(F.col(text)))
-    prepared = prepared.withColumn("_low", L.searchable(F.col("_text"), match))
-    scored = _signals(prepared, match).withColumns(
-        {f"_p_{k}": c for k, c in _candidates().items()}
+
+    def choose(x: Column) -> Column:
+        return L.let(
+            _candidates(x),
+            lambda p: _choice(x, {k: p[k] for k in fv.INTENTS}, min_confidence),
+        )
+
+    def from_text(t: Column) -> Column:
+        return L.let(_signals(t, match), choose)
+
+    tidy = L.normalise_query(F.col(text))
+    answer = L.let(
+        {"text": tidy},
+        lambda t: L.let({"text": t["text"], "low": L.searchable(t["text"], match)}, from_text),
     )
-    chosen = scored.withColumn("_choice", _choice(min_confidence))
-    return chosen.select(
+    return df.withColumn("_answer", answer).select(
         *df.columns,
-        F.col("_choice.intent").alias("intent"),
-        F.round("_choice.confidence", 4).alias("confidence"),
+        F.col("_answer.intent").alias("intent"),
+        F.round("_answer.confidence", 4).alias("confidence"),
     )
