@@ -60,5 +60,10 @@ def apply_filters(df: DataFrame, model: SemanticModel, filters: Iterable[Filter]
 
 
 def known(df: DataFrame, *columns: str, unknown: str = "Unknown") -> DataFrame:
-    """drop rows where any of the columns is null or the ``unknown`` marker."""
-    return df.filter(reduce(and_, [F.col(c) != unknown for c in columns]))
+    """drop rows where any of the columns is null or the ``unknown`` marker.
+
+    The null tests are spelled out. Joins add them above the filter, and only a filter that
+    has them already stays the same in every branch, so that one scan can serve them all.
+    """
+    tests = [F.col(c).isNotNull() & (F.col(c) != unknown) for c in columns]
+    return df.filter(reduce(and_, tests))
