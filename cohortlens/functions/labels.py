@@ -35,16 +35,25 @@ def let(values: Mapping[str, Column], body: Callable[[Column], Column]) -> Colum
 _NOT_WORD = r"[^a-z0-9_+]+"
 
 
+# East Asian characters and what lies beyond them. A word with such a character cannot occur
+# in a text without any, and one look at the text tells.
+_WIDE = "[\\u2e80-\\uffff]"
+
+
 def searchable(text: Column, match: str = "substring") -> Column:
-    """The text in the form that ``has_word`` searches; compute it once per row (``let``)."""
-    lowered = F.lower(text)
-    if match == "substring":
-        return lowered
-    if match != "token":
+    """The text as the word tests search it (low) and whether it has wide characters (wide).
+
+    Compute it once per row, with ``let``.
+    """
+    if match not in ("substring", "token"):
         raise ValueError(f"unknown match mode: {match!r}")
-    # The text as it is, then its Latin words with single blanks around each of them.
-    words = F.regexp_replace(lowered, _NOT_WORD, " ")
-    return F.concat(lowered, F.lit("\n "), words, F.lit(" "))
+    low = F.lower(text)
+    wide = F.rlike(text, F.lit(_WIDE))
+    if match == "token":
+        # The text as it is, then its Latin words with single blanks around each of them.
+        words = F.regexp_replace(low, _NOT_WORD, " ")
+        low = F.concat(low, F.lit("\n "), words, F.lit(" "))
+    return F.struct(low.alias("low"), wide.alias("wide"))
 
 
 def word_weight(word: str) -> float:
@@ -60,11 +69,16 @@ def _needle(word: str, match: str) -> str:
     return word
 
 
-_WORD = "struct<word: string, needle: string, weight: double>"
+_WORD = "struct<word: string, needle: string, wide: boolean, weight: double>"
 
 
 def _word(word: str, match: str) -> dict:
-    return {"word": word, "needle": _needle(word, match), "weight": word_weight(word)}
+    return {
+        "word": word,
+        "needle": _needle(word, match),
+        "wide": re.search(_WIDE, word) is not None,
+        "weight": word_weight(word),
+    }
 
 
 def _literal(value: list, schema: str) -> Column:
@@ -92,7 +106,7 @@ def _lexicon(lexicon: Mapping[str, Iterable[str]], match: str) -> Column:
 
 
 def _occurs(prepared: Column) -> Callable[[Column], Column]:
-    return lambda w: F.contains(prepared, w["needle"])
+    return lambda w: (prepared["wide"] | ~w["wide"]) & F.contains(prepared["low"], w["needle"])
 
 
 def _total_weight(found: Column) -> Column:
@@ -147,14 +161,14 @@ Values = Mapping[str, Mapping[str, Sequence[str]]]
 def best_synonym(prepared: Column, values: Values, match: str = "substring") -> Column:
     """(dimension, value) of the longest word that occurs; the earlier one wins a tie."""
     entries = [
-        {"dimension": dim, "value": value, "word": w, "needle": _needle(w, match)}
+        {"dimension": dim, "value": value, **_word(w, match)}
         for dim, by in values.items()
         for value, ws in by.items()
         for w in ws
     ]
     check_size(entries)
     entries.sort(key=lambda e: len(e["word"]), reverse=True)
-    schema = "array<struct<dimension: string, value: string, word: string, needle: string>>"
+    schema = f"array<{_WORD.replace('<', '<dimension: string, value: string, ', 1)}>"
     return F.get(F.filter(_literal(entries, schema), _occurs(prepared)), F.lit(0))
 
 
