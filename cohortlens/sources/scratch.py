@@ -17,9 +17,7 @@ def scratch_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {SETTING} to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="cohortlens-")
-    spark.conf.set(SETTING, root)
-    return root
+    return tempfile.mkdtemp(prefix="cohortlens-")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
