@@ -42,3 +42,16 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cohortlens.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), word_vocabulary(), keep_ids=False)
+
+
+@query
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortlens.llm.repeats import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
