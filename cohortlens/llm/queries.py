@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlens.llm import line_spread
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -55,3 +57,35 @@ def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query
+def op7_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_spread.remove_boilerplate(table(spark, sf_dir, "documents"))
+    return found.select(
+        "row.doc_id", "n_lines", "n_removed",
+        F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("kept_md5"),
+    )
+
+
+ORACLES["op7_line_spread"] = line_spread.ORACLE
+
+
+@query
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortlens.llm.quality import THRESHOLD, fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs)).select(
+        "doc_id", "score", (F.col("score") >= THRESHOLD).alias("kept")
+    )
+
+
+@query
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortlens.llm.mixing import mix_sources
+
+    return mix_sources(table(spark, sf_dir, "documents")).select(
+        "row.doc_id", "source", "n_tokens", "weight", "repetitions",
+        "epoch", "block", "block_order", "doc_order",
+    )
