@@ -15,14 +15,16 @@ ids are carried through; repeated rows are packed once each; an empty table give
 from __future__ import annotations
 
 import heapq
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,60 +35,70 @@ PIECE = 256
 BATCH = 4096  # pieces balanced together
 CLOSING_ID = 1
 
-# A chunk of printable Latin-1 needs no normal form, and its lower case is the tokenizer's.
-_PLAIN = regex.compile(r"[\x21-\x7e\xa1-\xff]+")
-_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-# Where str.split() and the tokenizer differ about white space, or a special token is spelled.
-_ODD = regex.compile(r"[\x1c-\x1f]|<\|")
+# Letters and digits of Latin-1, where every text is in normal form.
+_L, _N = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾"
+_PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+")
+# Where Python and the tokenizer differ about white space, or a special token is spelled.
+_ODD = re.compile(r"[\x1c-\x1f]|<\|")
+
+
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 class Encoder:
-    """Ids of whole texts as little-endian 32-bit bytes, with bounded memories of chunks.
+    """Ids of whole texts as little-endian 32-bit bytes, with a bounded memory of parts.
 
-    White space always divides, so a text's ids are those of its chunks in order; each distinct
-    chunk, and each distinct part of a plain chunk, goes through the tokenizer once.
+    White space and the tokenizer's own pattern always divide, so a text's ids are those of its
+    parts in order, and each distinct part goes through the tokenizer once. Chunks outside
+    Latin-1 are parts as they are. Two generations of memory: what is used again is kept.
     """
 
-    def __init__(self, path: str, limit: int = 200_000) -> None:
+    def __init__(self, path: str, limit: int = 300_000) -> None:
+        # Spark runs a task per core; the tokenizer's own threads would only compete with them.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.limit = limit
-        self.chunks: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(e.ids, "<u4").tobytes() for e in found]
-
-    def _learn(self, missing: list[str]) -> None:
-        plain = {c: _PARTS.findall(c.lower()) for c in missing if _PLAIN.fullmatch(c)}
-        if len(self.parts) > self.limit:
-            self.parts.clear()
-        parts = list({p for ps in plain.values() for p in ps if p not in self.parts})
-        self.parts.update(zip(parts, self._encode(parts), strict=True))
-        for chunk, own in plain.items():
-            self.chunks[chunk] = b"".join([self.parts[p] for p in own])
-        other = [c for c in missing if c not in plain]
-        self.chunks.update(zip(other, self._encode(other), strict=True))
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def _divide(self, text: str) -> list[str]:
+        if _ODD.search(text):
+            return [text]
+        if _latin(text):
+            return _PARTS.findall(text.lower())
+        parts: list[str] = []
+        for chunk in text.split():
+            if _latin(chunk):
+                parts += _PARTS.findall(chunk.lower())
+            else:
+                parts.append(chunk)
+        return parts
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        words = [None if _ODD.search(t) else t.split() for t in texts]
-        if len(self.chunks) > self.limit:
-            self.chunks.clear()
-        missing = {w for ws in words if ws for w in ws if w not in self.chunks}
-        if missing:
-            self._learn(list(missing))
-        known = self.chunks
-        for text, own in zip(texts, words, strict=True):
-            if own is None:
-                out += self._encode([text])
-            else:
-                out.append(b"".join([known[w] for w in own]))
-        return out
+        if len(self.known) > self.limit:
+            self.before, self.known = self.known, {}
+        known, before = self.known, self.before
+        divided = [self._divide(t) for t in texts]
+        missing = set().union(*divided).difference(known)
+        kept = [p for p in missing if p in before]
+        known.update((p, before[p]) for p in kept)
+        new = list(missing.difference(kept))
+        if new:
+            known.update(zip(new, self._encode(new), strict=True))
+        return [b"".join(map(known.__getitem__, parts)) for parts in divided]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -135,21 +147,28 @@ def _cut(
 
 
 def differencing(lengths: list[int], k: int) -> list[list[int]]:
-    """Karmarkar-Karp: ``k`` groups of positions of ``lengths`` with near-equal sums."""
+    """Karmarkar-Karp for ``k`` groups, balanced form: positions with near-equal sums.
+
+    The lengths, longest first, start as partial partitions of ``k`` neighbours. The two with
+    the largest imbalance are merged, largest sum to smallest, until one is left.
+    """
+    order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
     heap = []
-    for i, n in enumerate(lengths):
+    for tie, at in enumerate(range(0, len(order), k)):
+        own = order[at : at + k]
         sums = np.zeros(k, np.int64)
-        sums[0] = n
-        heap.append((-n, i, sums, [[i]] + [[] for _ in range(k - 1)]))
+        sums[: len(own)] = [lengths[i] for i in own]
+        slots = [[i] for i in own] + [[] for _ in range(k - len(own))]
+        heap.append((-int(sums.max() - sums.min()), tie, sums, slots))
     heapq.heapify(heap)
     tie = len(lengths)
     while len(heap) > 1:
         _, _, a, own = heapq.heappop(heap)
         _, _, b, other = heapq.heappop(heap)
         sums = a + b[::-1]
-        order = np.argsort(-sums, kind="stable")
-        merged = [own[i] + other[k - 1 - i] for i in order.tolist()]
-        sums = sums[order] - sums.min()
+        down = np.argsort(-sums, kind="stable")
+        merged = [own[i] + other[k - 1 - i] for i in down.tolist()]
+        sums = sums[down] - sums.min()
         heapq.heappush(heap, (-int(sums[0]), tie, sums, merged))
         tie += 1
     return heap[0][3] if heap else []
@@ -171,12 +190,8 @@ def _place(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
     lengths = pdf["length"].tolist()
     rest = [i for i, n in enumerate(lengths) if n < capacity]
     full = [[i] for i, n in enumerate(lengths) if n == capacity]
-    # Differencing over a few hundred pieces at a time keeps a partition's slots short.
-    groups = full
-    for k in range(0, len(rest), 1024):
-        some = rest[k : k + 1024]
-        found = windows([lengths[i] for i in some], capacity)
-        groups += [[some[i] for i in g] for g in found if g]
+    found = windows([lengths[i] for i in rest], capacity)
+    groups = full + [[rest[i] for i in g] for g in found if g]
     sequence, offset = np.empty(len(pdf), np.int64), np.empty(len(pdf), np.int64)
     for s, group in enumerate(groups):
         at = 0

@@ -89,3 +89,26 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row.doc_id", "source", "n_tokens", "weight", "repetitions",
         "epoch", "block", "block_order", "doc_order",
     )
+
+
+@query
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortlens.llm.minhash import compare_with_edits, likeness, packed
+
+    return compare_with_edits(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        packed("signature").alias("fingerprint"),
+        packed("edited_signature").alias("edited_fingerprint"),
+        likeness("signature", "edited_signature").alias("near_edited"),
+        likeness("signature", "next_signature").alias("near_next"),
+    )
+
+
+@query
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortlens.llm.warc import read_archives, write_archives
+
+    path = write_archives(table(spark, sf_dir, "pages"))
+    return read_archives(spark, path, keep_payload=False)

@@ -36,7 +36,7 @@ from cohortlens.llm.common import documents, row_key, stored
 U = np.uint64
 WINDOW = 16
 SPARSE, DENSE = 96, 12  # one trigger in so many positions
-CHUNK = 96  # starts that one run holds at most
+CHUNK = 48  # starts that one run holds at most
 BLOCK = 1 << 20  # bytes worked on at a time
 
 _MADE: dict[str, np.ndarray] = {}
