@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm import line_spread
@@ -112,3 +112,26 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = write_archives(table(spark, sf_dir, "pages"))
     return read_archives(spark, path, keep_payload=False)
+
+
+@query
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortlens.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortlens.llm.pii import KINDS, find_personal_data, listed
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    found = find_personal_data(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *map(count, KINDS),
+        F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"),
+        listed("spans").alias("spans"),
+    )
