@@ -211,6 +211,8 @@ def nearest(
     """
     rows = stored(usable(df, id_col, vector_col), "vectors")
     n = rows.count()
+    if n == 0:
+        return rows.selectExpr("vec_id AS query_id", "0 AS rank", "vec_id", "0.0D AS score")
     chosen = F.shiftrightunsigned(F.xxhash64("vec_id", "vec"), 24) < F.lit(int(min(1.0, SAMPLE / max(1, n)) * 2**40))
     sample = rows.where(chosen).orderBy(F.xxhash64("vec_id", "vec"), "vec_id").limit(2 * SAMPLE).collect()
     x = np.array([r["vec"] for r in sample], float).reshape(len(sample), -1)

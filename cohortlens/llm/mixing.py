@@ -105,7 +105,7 @@ def mix_sources(
     power = exponent(sources, repetition_limit, entropy)
     raised = F.when(F.col("tokens") > 0, F.pow(F.col("tokens").cast("double"), F.lit(power))).otherwise(0.0)
     sums = sources.agg(
-        F.sum(raised).alias("z"), F.max(F.col("tokens") / raised).alias("scale")
+        F.sum(raised).alias("z"), F.max(F.when(raised > 0, F.col("tokens") / raised)).alias("scale")
     ).head()
     z, scale = sums["z"] or 1.0, sums["scale"] or 1.0
     factor = scale if budget is None else budget / z
