@@ -92,12 +92,14 @@ def mix_sources(
     """
     if (repetition_limit is None) == (entropy is None):
         raise ValueError("give a repetition limit or a target entropy")
-    rows = df.select(
+    # Written once with its token counts: what follows reads single columns until the last step.
+    measured = df.select(
         F.struct("*").alias("row"),
         F.col(source_col).alias("source"),
         tokens(F.col(text_col)).alias("n_tokens"),
         F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("doc"),
     )
+    rows = stored(measured, "measured")
     sources = stored(
         rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")),
         "sources",
