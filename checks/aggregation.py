@@ -240,6 +240,20 @@ def distribution_topn(spark, sf_dir):
     return A.value_distribution(discharges(spark, sf_dir), fv.OVERVIEW_FIELDS, 10)
 
 
+@check(
+    "distribution_topn_large",
+    """WITH v AS (SELECT 'o_custkey' AS field, CAST(o_custkey AS VARCHAR) AS value FROM orders
+        UNION ALL SELECT 'o_orderdate', CAST(CAST(o_orderdate AS DATE) AS VARCHAR) FROM orders),
+        c AS (SELECT field, value, COUNT(*) AS n_rows FROM v GROUP BY 1, 2)
+        SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY field ORDER BY n_rows DESC, value) AS INTEGER)
+        AS position FROM c QUALIFY position <= 1500""",
+)
+def distribution_topn_large(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    days = orders.select("o_custkey", F.to_date("o_orderdate").alias("o_orderdate"))
+    return A.value_distribution(days, ["o_custkey", "o_orderdate"], 1_500)
+
+
 @check(
     "top_groups",
     f"""{WITH_D} SELECT ccsr_diagnosis_description, COUNT(*) AS discharge_count,

@@ -118,6 +118,24 @@ _column_check(
     lambda c: X.restrict_domain(c, fv.YES_NO), flag_sql,
 )
 _column_check("to_int", ["Length of Stay", "Birth Weight"], N.to_int, int_sql)
+
+
+@check(
+    "to_int_wide",
+    """SELECT o_orderkey, TRY_CAST(CAST(o_orderkey AS VARCHAR) || '0000000001' AS BIGINT) AS wide,
+       CAST(NULL AS BIGINT) AS fraction FROM orders""",
+)
+def to_int_wide(spark, sf_dir):
+    """Keys times 10**10 and one, as strings with commas and blanks, to the last digit."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    key = F.col("o_orderkey").cast("string")
+    return orders.select(
+        "o_orderkey",
+        N.to_int(F.concat(F.lit(" "), key, F.lit("0,000,000,001 ")), "bigint").alias("wide"),
+        N.to_int(F.concat(key, F.lit(".5")), "bigint").alias("fraction"),
+    )
+
+
 _column_check("to_money", ["Total Charges"], N.to_money, money_sql)
 
 
@@ -126,6 +144,11 @@ def clean_table(spark, sf_dir):
     return C.clean_table(raw_discharges(spark, sf_dir), SPEC)
 
 
+@check("clean_table_one_column", f"SELECT {rule_sql('Race')} AS race FROM ({RAW_SQL})")
+def clean_table_one_column(spark, sf_dir):
+    return C.clean_table(raw_discharges(spark, sf_dir), SPEC).select("race")
+
+
 @check(
     "rename_columns",
     "SELECT o_orderkey AS order_key_id, o_custkey AS customer_number, "

@@ -261,13 +261,14 @@ def wrong_labels(spark, sf_dir):
 
 
 # Numbers stand between other characters. Without look-behind: cut the text into runs of
-# word characters, points and commas, then take numbers at the start of a run or after a comma.
+# word characters, points and commas, then take numbers at the start of a run, after a comma, or after a
+# point that has no digit before it.
 _DIGITS = r"\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+\.\d+|\d+"
 
 
 def numbers_sql(text: str) -> str:
     runs = f"regexp_extract_all({text}, '[A-Za-z0-9_.,]+')"
-    inside = f"regexp_extract_all(r, '(?:^|,)({_DIGITS})(?:[^A-Za-z0-9_]|$)', 1)"
+    inside = f"regexp_extract_all(r, '(?:^|,|(?:^|[^0-9])\\.)({_DIGITS})(?:[^A-Za-z0-9_]|$)', 1)"
     found = f"flatten(list_transform({runs}, lambda r: {inside}))"
     value = "CAST(replace(n, ',', '') AS DOUBLE)"
     year = f"({value} BETWEEN 1900 AND 2099 AND NOT contains(n, '.'))"

@@ -12,9 +12,9 @@ from cohortlens.functions.text import WHITESPACE
 from cohortlens.presets import fixed_values as fv
 
 # A number stands apart from letters, digits and underscores on both sides. Thousands
-# groups may carry decimals, and a number does not start right after a point.
+# groups may carry decimals, and a number does not start after a digit and a point.
 NUMBER = (
-    r"(?<![A-Za-z0-9_.])(\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+\.\d+|\d+)"
+    r"(?<![A-Za-z0-9_])(?<!\d\.)(\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+\.\d+|\d+)"
     rf"{WHITESPACE}*(?:{'|'.join(fv.UNITS)})?(?![A-Za-z0-9_])"
 )
 

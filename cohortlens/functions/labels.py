@@ -207,8 +207,8 @@ def filters_found(
 
     found = F.transform(_literal(entries, schema), named)
     if year_field:
-        year = F.regexp_extract(text, f"({year_pattern})", 1)
-        years = F.when(year != "", F.array(year)).otherwise(F.array().cast("array<string>"))
+        years = F.array_distinct(F.regexp_extract_all(text, F.lit(f"({year_pattern})"), F.lit(1)))
+        years = F.coalesce(years, F.array().cast("array<string>"))
         in_year = F.struct(F.lit(year_field).alias("field"), years.alias("values"))
         found = F.concat(found, F.array(in_year))
 

@@ -12,22 +12,35 @@ from cohortlens.functions.text import READER_MISSING, WHITESPACE
 NUMERIC_LITERAL = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 
 
-def parse_number(c: Column) -> Column:
-    """Drop outer white space and commas, then parse; anything but a numeric literal is null."""
+def numeric_literal(c: Column) -> Column:
+    """Drop outer white space and commas; anything but a numeric literal is empty."""
     bare = F.regexp_replace(c, f"^{WHITESPACE}+|{WHITESPACE}+$|,", "")
-    return F.regexp_extract(bare, NUMERIC_LITERAL, 0).try_cast("double")
+    return F.regexp_extract(bare, NUMERIC_LITERAL, 0)
+
+
+def parse_number(c: Column) -> Column:
+    """A numeric literal as double; anything else is null."""
+    return numeric_literal(c).try_cast("double")
+
 
+def whole_literal(literal: Column, type_name: str = "bigint") -> Column:
+    """A numeric literal as integer; fractions and values out of range are null.
 
-def whole(number: Column, type_name: str = "int") -> Column:
-    """A double as integer; fractions and values out of range are null, never rounded."""
-    return F.when(number % 1 == 0, number.try_cast(type_name))
+    Plain digits are read as they are, to the last one; an exponent takes the way through
+    double.
+    """
+    number = literal.try_cast("double")
+    digits = F.regexp_extract(literal, r"^([+-]?\d+)\.?0*$", 1)
+    return F.when(digits != "", digits.try_cast(type_name)).when(
+        number % 1 == 0, number.try_cast(type_name)
+    )
 
 
 def to_int(c: Column, type_name: str = "int") -> Column:
-    """C7 in one expression. Over many rows use ``whole`` on a column that already holds
-    ``parse_number``: one expression parses twice, once for the test and once for the cast.
+    """C7 in one expression. Over many rows use ``whole_literal`` on a column that already
+    holds ``numeric_literal``: one expression searches the string several times.
     """
-    return whole(parse_number(c), type_name)
+    return whole_literal(numeric_literal(c), type_name)
 
 
 def to_money(c: Column) -> Column:

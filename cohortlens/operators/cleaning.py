@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.numbers import parse_number, to_money, whole
+from cohortlens.functions.numbers import numeric_literal, to_money, whole_literal
 from cohortlens.functions.text import (
     PLACEHOLDERS,
     READER_MISSING,
@@ -29,6 +29,7 @@ class CleaningSpec:
     code: tuple[str, ...] = ()
     category: tuple[str, ...] = ()
     ints: tuple[str, ...] = ()
+    int_types: Mapping[str, str] = field(default_factory=dict)  # default: bigint
     money: tuple[str, ...] = ()
     maps: Mapping[str, Mapping[str, str]] = field(default_factory=dict)
     domains: Mapping[str, tuple[str, ...]] = field(default_factory=dict)
@@ -45,18 +46,12 @@ class CleaningSpec:
         return self.ints + self.money
 
     def rule(self, name: str) -> Column:
-        """The cleaned column, integers still as double; other columns pass through."""
+        """A special column: maps and domains come before any group; others pass through."""
         c = _col(name)
         if name in self.maps:
             return map_values(c, self.maps[name], self.unknown)
         if name in self.domains:
             return restrict_domain(c, self.domains[name], self.unknown)
-        if name in self.ints:
-            return parse_number(c)
-        if name in self.money:
-            return to_money(c)
-        if name in self.marked:
-            return clean_text(c, self.unknown, self.placeholders)
         return c
 
 
@@ -69,8 +64,9 @@ def normalise_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*names)
 
 
-# From this many columns on, a group is cleaned as one array.
-_WIDE = 4
+# Columns cleaned as one array. An array is computed as a whole, so a reader of one column
+# pays for its few neighbours and not for the group.
+_TOGETHER = 4
 
 
 def clean_table(
@@ -79,29 +75,37 @@ def clean_table(
     """Clean the columns that are present, or only ``columns`` (normalised names).
 
     One expression per column would give a generated method far beyond the size that the
-    JVM compiles, and the whole scan would run in its interpreter. So the columns of a wide
-    group pass through one array expression. An array is computed as a whole: name the
-    ``columns`` when only some are wanted.
+    JVM compiles, and the whole scan would run in its interpreter. So the columns of a group
+    pass through array expressions, a few columns each, however many a group has. Arrays that
+    no reader asks for are pruned, with the columns behind them.
     """
     named = normalise_columns(df)
     if columns is not None:
         named = named.select(*columns)
+    special = set(spec.maps) | set(spec.domains)
     place: dict[str, Column] = {}
     arrays: dict[str, Column] = {}
     steps = {
         "text": (spec.marked, lambda c: clean_text(c, spec.unknown, spec.placeholders)),
-        "ints": (spec.ints, parse_number),
+        "ints": (spec.ints, numeric_literal),
         "money": (spec.money, to_money),
     }
     for group, (members, rule) in steps.items():
-        present = [c for c in named.columns if c in members]
-        if len(present) >= _WIDE:
-            arrays[f"__{group}"] = F.transform(F.array(*[_col(c) for c in present]), rule)
-            place |= {c: F.col(f"__{group}")[i] for i, c in enumerate(present)}
+        present = [c for c in named.columns if c in members and c not in special]
+        for k in range(0, len(present), _TOGETHER):
+            some = present[k : k + _TOGETHER]
+            name = f"__{group}_{k}"
+            arrays[name] = F.transform(F.array(*[_col(c) for c in some]), rule)
+            place |= {c: F.col(name)[i] for i, c in enumerate(some)}
     grouped = named.withColumns(arrays)
     flat = grouped.select(*[place.get(c, spec.rule(c)).alias(c) for c in named.columns])
-    # Integers take a second step, so that each string is parsed once.
-    return flat.withColumns({c: whole(_col(c)) for c in spec.ints if c in flat.columns})
+    # Integers take a second step, so that each string is searched once.
+    whole = {
+        c: whole_literal(_col(c), spec.int_types.get(c, "bigint"))
+        for c in spec.ints
+        if c in flat.columns and c not in special
+    }
+    return flat.withColumns(whole)
 
 
 def _col(name: str) -> Column:

@@ -47,8 +47,8 @@ def with_best_synonym(
 def normalise_values(df: DataFrame, dimension: str, raw: str, values: L.Values) -> DataFrame:
     """Column ``value``, the canonical form of ``raw`` under the row's dimension.
 
-    Values outside the table pass through stripped. The synonym table comes from the spec,
-    so its size is known before it is broadcast.
+    Values outside the table pass through stripped. The join strategy is left to the optimizer,
+    which sees the size of the synonym table.
     """
     rows, seen = [], set()
     for dim, by in values.items():
@@ -57,11 +57,10 @@ def normalise_values(df: DataFrame, dimension: str, raw: str, values: L.Values)
                 if (dim, word) not in seen:
                     seen.add((dim, word))
                     rows.append((dim, word, value))
-    L.check_size(rows)
     table = df.sparkSession.createDataFrame(rows, "_dim string, _word string, _value string")
     keyed = df.withColumn("_key", L.value_key(F.col(raw)))
     hit = (F.col(dimension) == F.col("_dim")) & (F.col("_key") == F.col("_word"))
-    joined = keyed.join(F.broadcast(table), hit, "left")
+    joined = keyed.join(table, hit, "left")
     return joined.select(*df.columns, F.coalesce("_value", "_key").alias("value"))
 
 

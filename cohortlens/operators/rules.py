@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from cohortlens.operators.filters import known
 
-# A rule set no longer than this is small enough to send to every executor.
-BROADCAST_RULES = 10_000
-
-
 def pair_counts(df: DataFrame, a: str, b: str, unknown: str = "Unknown") -> DataFrame:
     """How often each pair of known values occurs."""
     base = known(df, a, b, unknown=unknown).select(a, b)
@@ -30,7 +26,7 @@ def association_rules(
 
     Everything derives from the pair counts, so the base table is scanned once. The support
     filter needs only the total and runs before the joins: at most 1/min_support pairs pass
-    it, which bounds the side that is broadcast. The counts per value are aggregates with
+    it. The counts per value are aggregates with
     map-side combine, so a value that fills a third of the rows is no burden to one task.
     """
     if antecedent == consequent:
@@ -44,9 +40,8 @@ def association_rules(
 
     frequent = pairs.withColumn("n", total).withColumn("support", F.col("n_ab") / F.col("n"))
     frequent = frequent.filter(F.col("support") >= min_support)
-    small = 1 / min_support <= BROADCAST_RULES
-    with_a = n_a.join(F.broadcast(frequent) if small else frequent, antecedent)
-    with_b = n_b.join(F.broadcast(with_a) if small else with_a, consequent)
+    # At most 1/min_support rows: adaptive execution sees that and picks the join.
+    with_b = n_b.join(n_a.join(frequent, antecedent), consequent)
 
     confidence = F.col("n_ab") / F.col("n_a")
     lift = confidence / (F.col("n_b") / F.col("n"))

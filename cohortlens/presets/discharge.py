@@ -16,6 +16,7 @@ CLEANING = CleaningSpec(
     code=fv.CODE_COLUMNS,
     category=fv.PAYMENT_COLUMNS,
     ints=fv.INT_COLUMNS,
+    int_types={c: "int" for c in fv.INT_COLUMNS},
     money=fv.MONEY_COLUMNS,
     maps={"gender": fv.GENDER_MAP},
     domains={"emergency_department_indicator": fv.YES_NO},

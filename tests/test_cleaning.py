@@ -1,4 +1,5 @@
 import pytest
+from conftest import plan_of
 from pyspark.sql import functions as F
 
 from cohortlens.functions import numbers as N
@@ -235,3 +236,29 @@ def test_new_files_are_appended_once(spark):
     T.write_table(raw.limit(5), f"{source}/second", "csv")
     run()
     assert spark.read.parquet(target).count() == 65
+
+
+@pytest.mark.parametrize("others", [0, 2, 3, 24])
+def test_maps_win_at_every_width(spark, others):
+    names = ["gender", "flag", *(f"t{i}" for i in range(others))]
+    spec = C.CleaningSpec(
+        text=tuple(names), maps={"gender": {"m": "Male"}}, domains={"flag": ("Y", "N")}
+    )
+    df = spark.createDataFrame([("m", "y", *["a  b"] * others)], names)
+    assert tuple(C.clean_table(df, spec).head()) == ("Male", "Y", *["a b"] * others)
+
+
+def test_one_column_reads_its_neighbours_only(spark, tmp_path):
+    names = [f"t{i}" for i in range(25)]
+    path = str(tmp_path / "wide")
+    spark.createDataFrame([tuple("x" for _ in names)], names).write.parquet(path)
+    cleaned = C.clean_table(spark.read.parquet(path), C.CleaningSpec(text=tuple(names)))
+    read = plan_of(cleaned.select("t9")).split("ReadSchema: ")[1].split(">")[0]
+    assert "t9:" in read and read.count(":string") <= 4
+
+
+def test_wide_integers(spark):
+    spec = C.CleaningSpec(ints=("a", "b"), int_types={"b": "int"})
+    df = spark.createDataFrame([("3,000,000,000", "3000000000"), ("9007199254740993", "7.0")], "a string, b string")
+    got = [tuple(r) for r in C.clean_table(df, spec).collect()]
+    assert got == [(3_000_000_000, None), (9_007_199_254_740_993, 7)]

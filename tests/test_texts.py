@@ -178,6 +178,7 @@ NUMBERS = {
     "2020.5": [2020.5], "9999999999": [], "abc12 x3y": [], "id_7": [], "5天10例": [5.0, 10.0],
     "1.2.3": [1.2], "a,5,6": [5.0, 6.0], "": [], "no": [], "20万": [200000.0],
     "0.2万": [2000.0], "152.143.123.131": [152.143], "12345,678": [12345.0, 678.0], "v 7.": [7.0],
+    "Done.9999 patients": [9999.0], "1.2.3": [1.2], "1,234.56": [1234.56],
 }
 
 
@@ -191,7 +192,7 @@ def test_numbers_agree_with_a_scan_by_hand(spark):
     """Whole documents against a plain scan for digits in Python."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     out = docs.select("text", G.numbers_in_text(F.col("text")).alias("v")).collect()
-    whole = re.compile(r"(?<![A-Za-z0-9_.])(?:\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)")
+    whole = re.compile(r"(?<![A-Za-z0-9_])(?<!\d\.)(?:\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)")
     for r in out:
         expected = []
         for m in whole.finditer(r.text):
@@ -254,3 +255,11 @@ def test_grounding(spark):
 def test_label_accuracy_of_nothing(spark):
     df = spark.createDataFrame([], "a string, b string")
     assert tuple(X.label_accuracy(df, "a", "b").first()) == (0, 0, 0.0)
+
+
+def test_two_years_become_one_filter(spark):
+    df = frame(spark, ["2020年和2021年", "2021年", "none"])
+    found = X.with_filters(df, "t", {}, "discharge_year", fv.YEAR_PATTERN).orderBy("i").collect()
+    assert [[(f.op, f["values"]) for f in r.filters] for r in found] == [
+        [("in", ["2020", "2021"])], [("eq", ["2021"])], [],
+    ]
