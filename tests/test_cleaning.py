@@ -262,3 +262,10 @@ def test_wide_integers(spark):
     df = spark.createDataFrame([("3,000,000,000", "3000000000"), ("9007199254740993", "7.0")], "a string, b string")
     got = [tuple(r) for r in C.clean_table(df, spec).collect()]
     assert got == [(3_000_000_000, None), (9_007_199_254_740_993, 7)]
+
+
+def test_a_foreign_header_is_an_error(spark, tmp_path):
+    for name, text in (("a", "k,v\n1,2\n"), ("b", "v,k\n3,4\n")):
+        (tmp_path / f"{name}.csv").write_text(text)
+    with pytest.raises(Exception, match="header"):
+        T.read_raw_csv(spark, str(tmp_path)).collect()
