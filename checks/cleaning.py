@@ -294,6 +294,26 @@ def csv_nested_folders(spark, sf_dir):
     return T.conform(read, orders.schema)
 
 
+@check(
+    "csv_mixed_headers",
+    """SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderpriority,
+       CASE WHEN o_orderstatus = 'P' THEN o_orderstatus END AS o_orderstatus FROM orders""",
+)
+def csv_mixed_headers(spark, sf_dir):
+    """Files with the columns in another order, and with one more column."""
+    root = scratch_path(spark, "mixed")
+    orders = table(spark, sf_dir, "orders")
+    layouts = {
+        "O": ["o_orderkey", "o_orderpriority"],
+        "F": ["o_orderpriority", "o_orderkey"],
+        "P": ["o_orderstatus", "o_orderkey", "o_orderpriority"],
+    }
+    for status, columns in layouts.items():
+        part = orders.filter(F.col("o_orderstatus") == status).select(*columns)
+        T.write_table(part, f"{root}/{status}/of them", "csv")
+    return T.read_raw_csv(spark, root, recursive=True, mixed_headers=True)
+
+
 @check(
     "table_sink",
     f"{WITH_D} SELECT order_key, line, part_key, supp_key, age_group, birth_weight FROM d",

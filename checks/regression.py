@@ -67,6 +67,15 @@ def category_index(spark, sf_dir):
     return M.category_index(table(spark, sf_dir, "part"), "p_type")
 
 
+@check(
+    "category_index_distinct",
+    """SELECT c_name, CAST(row_number() OVER (ORDER BY COUNT(*) DESC, c_name) - 1 AS INTEGER)
+       AS category_index FROM customer GROUP BY c_name""",
+)
+def category_index_distinct(spark, sf_dir):
+    return M.category_index(table(spark, sf_dir, "customer"), "c_name")
+
+
 # A line with known ends: the target follows the quantity, the discount is the noise.
 LINE = M.RegressionSpec("target", ("quantity",), reg_param=0.0)
 LINE_COLUMNS = {
@@ -130,10 +139,67 @@ def batch_predict(spark, sf_dir):
     return scored.select(*KEY, F.round("prediction", 3).alias("prediction"))
 
 
+# A number and an indexed category, in closed form by Cramer's rule.
+PLANE = M.RegressionSpec("target", ("quantity",), ("flag",), reg_param=0.0)
+PLANE_COLUMNS = LINE_COLUMNS | {
+    "flag": "CASE WHEN l_linenumber = 6 THEN 'Unknown' ELSE l_returnflag END",
+    "target": """3 * l_quantity + 2 + 100 * l_discount
+        + CASE l_returnflag WHEN 'N' THEN 40 WHEN 'A' THEN 7 ELSE 19 END""",
+}
+PLANE_SQL = ", ".join(f"{e} AS {c}" for c, e in PLANE_COLUMNS.items())
+WITH_PLANE = f"""WITH x AS (SELECT {PLANE_SQL} FROM lineitem),
+    k AS (SELECT * FROM x WHERE target > 0 AND quantity IS NOT NULL AND flag <> 'Unknown'),
+    f AS (SELECT flag, row_number() OVER (ORDER BY COUNT(*) DESC, flag) - 1 AS i FROM k
+          WHERE {unit_sql('split-42')} < 0.8 GROUP BY flag),
+    j AS (SELECT k.*, i FROM k JOIN f USING (flag)),
+    train AS (SELECT * FROM j WHERE {unit_sql('split-42')} < 0.8),
+    test AS (SELECT * FROM j WHERE {unit_sql('split-42')} >= 0.8),
+    c AS (SELECT var_pop(quantity) AS qq, var_pop(i) AS ii, covar_pop(quantity, i) AS qi,
+          covar_pop(quantity, target) AS qt, covar_pop(i, target) AS it,
+          AVG(quantity) AS q, AVG(i) AS i0, AVG(target) AS t FROM train),
+    s AS (SELECT (qt * ii - it * qi) / (qq * ii - qi * qi) AS a,
+          (it * qq - qt * qi) / (qq * ii - qi * qi) AS b, q, i0, t FROM c),
+    m AS (SELECT a, b, t - a * q - b * i0 AS c FROM s)"""
+
+
+def plane_fit(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    rows = lines.select(*[F.expr(e).alias(c) for c, e in PLANE_COLUMNS.items()])
+    train, test = M.split(M.training_frame(rows, PLANE), KEY, method="md5")
+    return M.fit(train, PLANE), test
+
+
+@check(
+    "two_feature_coefficients",
+    f"""{WITH_PLANE} SELECT '(intercept)' AS feature, ROUND(c, 2) AS coefficient FROM m
+        UNION ALL SELECT 'quantity', ROUND(a, 4) FROM m
+        UNION ALL SELECT 'flag_idx', ROUND(b, 4) FROM m""",
+)
+def two_feature_coefficients(spark, sf_dir):
+    model, _ = plane_fit(spark, sf_dir)
+    return M.model_summary(model, PLANE)
+
+
+@check(
+    "two_feature_metrics",
+    f"""{WITH_PLANE}, e AS (SELECT target, target - (a * quantity + b * i + c) AS e FROM test, m)
+        SELECT COUNT(*) AS n_rows, ROUND(SQRT(AVG(e * e)), 2) AS rmse,
+        ROUND(AVG(ABS(e)), 2) AS mae,
+        ROUND(1 - SUM(e * e) / (VAR_POP(target) * COUNT(*)), 4) AS r2 FROM e""",
+)
+def two_feature_metrics(spark, sf_dir):
+    model, test = plane_fit(spark, sf_dir)
+    return M.evaluate(model.transform(test), "target")
+
+
+FIT_ROWS = 100_000
+
+
 def cost_model(spark, sf_dir):
-    d = discharges(spark, sf_dir)
-    train, test = M.split(M.training_frame(d, COST_MODEL, 100_000, KEY), KEY)
-    return M.fit(train, COST_MODEL), test
+    """Fitted on about ``FIT_ROWS`` rows of the training part; the whole test part is left."""
+    usable = M.training_frame(discharges(spark, sf_dir), COST_MODEL)
+    train, test = M.split(usable, KEY)
+    return M.fit(M.training_frame(train, COST_MODEL, FIT_ROWS, KEY), COST_MODEL), test
 
 
 # Ridge over six features has no plain SQL form; tests check it against a closed solution.

@@ -10,10 +10,11 @@ from operator import and_
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions.hashing import unit_hash
+from cohortlens.sources.scratch import scratch_path
 
 INTERCEPT = "(intercept)"
 
@@ -84,16 +85,37 @@ def split(
 def category_index(df: DataFrame, column: str) -> DataFrame:
     """M3 as a table: values by falling frequency, ties by value, numbered from 0.
 
-    This is what the fitted ``StringIndexer`` holds; its labels live on the driver, as in
-    every model it is part of, so it is meant for category columns.
+    The numbers a fitted ``StringIndexer`` would give, for any number of distinct values: the
+    sorted counts are stored, so that a repeated task cannot deal them anew, and each part
+    starts where the parts before it end. Only the sizes of the parts meet in one task. Nulls
+    have no number; more than 2^31 values are an error.
     """
-    model = StringIndexer(inputCol=column, outputCol="i").fit(df.select(column))
-    rows = list(zip(model.labels, range(len(model.labels))))
-    return df.sparkSession.createDataFrame(rows, f"`{column}` string, category_index int")
+    values = df.select(F.col(f"`{column}`").cast("string").alias("value")).dropna()
+    counts = values.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    path = scratch_path(df.sparkSession, "category-index")
+    ranked = counts.sort(F.desc("n"), "value").select(
+        "value", F.monotonically_increasing_id().alias("at")
+    )
+    ranked.write.parquet(path)
+
+    # The upper bits of the id are the number of the part, the lower 33 the row in it.
+    part, row = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+    stored = df.sparkSession.read.schema(ranked.schema).parquet(path)
+    stored = stored.select("value", part.alias("part"), row.alias("row"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = stored.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
+    starts = sizes.select("part", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("start"))
+    return stored.join(starts, "part").select(
+        F.col("value").alias(column),
+        (F.col("start") + F.col("row")).cast("int").alias("category_index"),
+    )
 
 
 def fit(train: DataFrame, spec: RegressionSpec) -> PipelineModel:
-    """M3-M5: index the categories, assemble the features, fit the line."""
+    """M3-M5: index the categories, assemble the features, fit the line.
+
+    The columns used are kept while the stages of the fit read them, then released.
+    """
     indexed = [f"{c}_idx" for c in spec.categorical]
     stages = []
     if indexed:
@@ -113,7 +135,11 @@ def fit(train: DataFrame, spec: RegressionSpec) -> PipelineModel:
             labelCol=spec.label, maxIter=spec.max_iter, regParam=spec.reg_param
         ),
     ]
-    return Pipeline(stages=stages).fit(train)
+    kept = train.select(*spec.numeric, *spec.categorical, spec.label).persist()
+    try:
+        return Pipeline(stages=stages).fit(kept)
+    finally:
+        kept.unpersist()
 
 
 def evaluate(predictions: DataFrame, label: str, rounded: bool = True) -> DataFrame:

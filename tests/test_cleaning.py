@@ -269,3 +269,14 @@ def test_a_foreign_header_is_an_error(spark, tmp_path):
         (tmp_path / f"{name}.csv").write_text(text)
     with pytest.raises(Exception, match="header"):
         T.read_raw_csv(spark, str(tmp_path)).collect()
+
+
+def test_mixed_headers_are_matched_by_name(spark, tmp_path):
+    files = {"a": "k,v\n1,2\n", "b c": "v,k\r\n3,4\r\n", "d": 'k,v,w\n5,"6,6",7\n', "e": "k,v\n"}
+    for name, text in files.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / f"{name}.csv").write_text(text, newline="")
+    (tmp_path / "a" / "notes.txt").write_text("k\nx\n")
+    read = T.read_raw_csv(spark, str(tmp_path), recursive=True, mixed_headers=True)
+    rows = sorted((r["k"], r["v"], r["w"]) for r in read.collect())
+    assert rows == [("1", "2", None), ("4", "3", None), ("5", "6,6", "7")]

@@ -101,3 +101,22 @@ def test_one_hot(parts):
     assert len(names) == len(model.stages[-1].coefficients) == 6
     with pytest.raises(ValueError):
         M.RegressionSpec("y", ("x",), encoding="none")
+
+
+def test_category_index_numbers_every_value(spark):
+    values = ["b", "a", "b", None, "c", "a", "d"] + [f"v{i:03d}" for i in range(300)]
+    df = spark.createDataFrame([(v,) for v in values], "x string").repartition(5)
+    rows = {r["x"]: r["category_index"] for r in M.category_index(df, "x").collect()}
+    assert [rows["a"], rows["b"], rows["c"], rows["d"]] == [0, 1, 2, 3]
+    assert sorted(rows.values()) == list(range(304))
+    assert rows["v000"] == 4 and rows["v299"] == 303
+    assert M.category_index(df.limit(0), "x").collect() == []
+
+
+def test_the_cap_leaves_the_test_part_whole(df):
+    train, test = M.split(M.training_frame(df, COST_MODEL), KEY)
+    few = M.training_frame(train, COST_MODEL, 50, KEY)
+    model = M.fit(few, COST_MODEL)
+    scored = M.evaluate(model.transform(test), COST_MODEL.label).first()
+    assert scored.n_rows == test.count() > few.count() / 2
+    assert not few.is_cached
