@@ -38,6 +38,31 @@ def lexicon_score(spark, sf_dir):
     return rows.withColumn("hits", F.array_join("hits", ","))
 
 
+@check(
+    "lexicon_large",
+    r"""WITH w AS (SELECT DISTINCT CAST(c_custkey % 7 AS VARCHAR) AS label,
+          CAST(c_custkey AS VARCHAR) AS word FROM customer
+        UNION SELECT DISTINCT 'part', unnest(string_split(p_name, ' ')) FROM part),
+        t AS (SELECT DISTINCT doc_id,
+          unnest(regexp_split_to_array(lower(text), '[^a-z0-9_+]+')) AS token FROM documents)
+        SELECT doc_id, label, SUM(LEAST(1.0::DOUBLE, length(word) / 4)) AS score,
+        string_agg(word, ',' ORDER BY word) AS hits
+        FROM t JOIN w ON token = lower(word) AND word <> '' GROUP BY doc_id, label""",
+)
+def lexicon_large(spark, sf_dir):
+    """Every customer number and every word of the part names as a lexicon."""
+    numbers = table(spark, sf_dir, "customer").select(
+        (F.col("c_custkey") % 7).cast("string").alias("label"),
+        F.col("c_custkey").cast("string").alias("word"),
+    )
+    names = table(spark, sf_dir, "part").select(
+        F.lit("part").alias("label"), F.explode(F.split("p_name", " ")).alias("word")
+    )
+    docs = table(spark, sf_dir, "documents")
+    rows = X.lexicon_scores_by_join(docs, ["doc_id"], "text", numbers.union(names))
+    return rows.withColumn("hits", F.array_join("hits", ","))
+
+
 _TOKEN_ROWS = [
     ("articles", "the", 0.75), ("articles", "les", 0.75), ("articles", "der", 0.75),
     ("links", "and", 0.75), ("links", "und", 0.75), ("links", "et", 0.5),

@@ -21,27 +21,52 @@ def lexicon_scores(
 
     Rows come out of an inline array of the row itself, so nothing is shuffled.
     """
-    found = df.select(
-        *keep,
-        _over_text(text, match, lambda t: L.lexicon_hits(t["low"], lexicon, match)).alias(
-            "_found"
-        ),
+    found = _search(df, text, match, lambda t: {"found": L.words_found(t, lexicon, match)})
+    return found.select(*keep, F.inline(L.scored(F.col("_search_found"))))
+
+
+def lexicon_scores_by_join(
+    df: DataFrame, key: Sequence[str], text: str, lexicon: DataFrame
+) -> DataFrame:
+    """X1 for a lexicon table (label, word) of any size: rows (*key, label, score, hits).
+
+    Each word is one word in Latin letters or digits and must stand alone in the text, as with
+    ``match="token"``; hits are in alphabetical order. A text is cut into words once, whatever
+    the size of the lexicon. ``key`` identifies a row; texts without a hit give no row.
+    """
+    words = F.split(F.lower(text), L.NOT_WORD)
+    tokens = df.select(*key, F.explode(F.array_distinct(words)).alias("_word"))
+    entries = lexicon.select(
+        "label", "word", F.lower("word").alias("_word"),
+        F.least(F.lit(1.0), F.length("word") / 4).alias("_weight"),
+    ).where("_word <> ''").distinct()
+    return tokens.join(entries, "_word").groupBy(*key, "label").agg(
+        F.sum("_weight").alias("score"), F.sort_array(F.collect_list("word")).alias("hits")
     )
-    return found.select(*keep, F.inline("_found"))
 
 
-def _over_text(text: str, match: str, body: Callable[[Column], Column]) -> Column:
-    return L.let({"low": L.searchable(F.col(text), match)}, body)
+def _search(
+    df: DataFrame,
+    text: str,
+    match: str,
+    tests: Callable[[Mapping[str, Column]], Mapping[str, Column]],
+) -> DataFrame:
+    """``df`` with the tests as columns ``_search_*``; the text is prepared once for all."""
+    parts = L.search_parts(F.col(text), match)
+    prepared = {k: F.col(f"_search_{k}") for k in parts}
+    ready = df.select("*", *[c.alias(f"_search_{k}") for k, c in parts.items()])
+    named = {f"_search_{k}": c for k, c in tests(prepared).items()}
+    return L.once(ready, named).drop(*[f"_search_{k}" for k in parts])
 
 
 def with_best_synonym(
     df: DataFrame, text: str, values: L.Values, match: str = "substring"
 ) -> DataFrame:
     """Columns ``dimension`` and ``value``; null where no word occurs."""
-    best = _over_text(text, match, lambda t: L.best_synonym(t["low"], values, match))
-    return df.withColumn("_best", best).withColumns(
-        {"dimension": F.col("_best.dimension"), "value": F.col("_best.value")}
-    ).drop("_best")
+    best = _search(df, text, match, lambda t: {"best": L.best_synonym(t, values, match)})
+    return best.withColumns(
+        {"dimension": F.col("_search_best.dimension"), "value": F.col("_search_best.value")}
+    ).drop("_search_best")
 
 
 def normalise_values(df: DataFrame, dimension: str, raw: str, values: L.Values) -> DataFrame:
@@ -69,10 +94,12 @@ def with_mentions(
 ) -> DataFrame:
     """One array column of labels per lexicon."""
 
-    def found(lexicon: Mapping[str, Sequence[str]]) -> Column:
-        return _over_text(text, match, lambda t: L.mentions(t["low"], lexicon, match))
+    def tests(t: Mapping[str, Column]) -> dict[str, Column]:
+        return {f"in_{k}": L.mentions(t, lexicon, match) for k, lexicon in lexicons.items()}
 
-    return df.withColumns({name: found(lexicon) for name, lexicon in lexicons.items()})
+    found = _search(df, text, match, tests)
+    named = found.withColumns({k: F.col(f"_search_in_{k}") for k in lexicons})
+    return named.drop(*[f"_search_in_{k}" for k in lexicons])
 
 
 def with_filters(
@@ -85,10 +112,9 @@ def with_filters(
 ) -> DataFrame:
     """Column ``filters``."""
 
-    def found(t: Column) -> Column:
-        return L.filters_found(F.col(text), t["low"], values, year_field, year_pattern, match)
-
-    return df.withColumn("filters", _over_text(text, match, found))
+    found = _search(df, text, match, lambda t: {"found": L.values_found(t, values, match)})
+    filters = L.as_filters(F.col(text), F.col("_search_found"), year_field, year_pattern)
+    return found.withColumn("filters", filters).drop("_search_found")
 
 
 def with_slots(df: DataFrame, text: str, **patterns: str) -> DataFrame:

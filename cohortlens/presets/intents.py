@@ -21,9 +21,8 @@ def _cap(c: Column, top: float = 1.0) -> Column:
     return F.least(c, F.lit(top))
 
 
-def _signals(t: Column, match: str) -> dict[str, Column]:
+def _signals(text: Column, low: L.Prepared, match: str) -> dict[str, Column]:
     """What occurs in a text: scores per lexicon, counts of names, pattern flags."""
-    low, text = t["low"], t["text"]
     lexicons = {"metadata": fv.METADATA_WORDS, "overview": fv.OVERVIEW_WORDS}
     lexicons |= fv.ANALYSIS_WORDS
     scores = {f"s_{k}": L.hit_score(low, ws, match) for k, ws in lexicons.items()}
@@ -50,7 +49,7 @@ def _signals(t: Column, match: str) -> dict[str, Column]:
     return scores | counts | flags | {"is_empty": text == ""}
 
 
-def _candidates(x: Column) -> dict[str, Column]:
+def _candidates(x: Mapping[str, Column]) -> dict[str, Column]:
     """Score per intent, null where the intent has no signal; in order of preference."""
     s = {k: x[f"s_{k}"] for k in ("metadata", "overview", *fv.ANALYSIS_WORDS)}
     dims, metrics = x["dims"], x["metrics"]
@@ -97,7 +96,7 @@ def _answer(intent: str, confidence: Column | float) -> Column:
     return F.struct(F.lit(intent).alias("intent"), level.cast("double").alias("confidence"))
 
 
-def _choice(x: Column, points: Mapping[str, Column], min_confidence: float) -> Column:
+def _choice(x: Mapping[str, Column], points: Mapping[str, Column], min_confidence: float) -> Column:
     """The candidate that wins, after the overrides, as (intent, confidence)."""
     top = F.greatest(*points.values())
     # The highest score wins; on a tie the candidate that comes first.
@@ -145,21 +144,17 @@ def label_intents(
 ) -> DataFrame:
     """Columns ``intent`` and ``confidence`` for every row of a text column."""
 
-    def choose(x: Column) -> Column:
-        return L.let(
-            _candidates(x),
-            lambda p: _choice(x, {k: p[k] for k in fv.INTENTS}, min_confidence),
-        )
-
-    def from_text(t: Column) -> Column:
-        return L.let(_signals(t, match), choose)
-
-    tidy = L.normalise_query(F.col(text))
+    tidy = df.select("*", L.normalise_query(F.col(text)).alias("_search_text"))
+    parts = L.search_parts(F.col("_search_text"), match)
+    ready = tidy.select("*", *[c.alias(f"_search_{k}") for k, c in parts.items()])
+    prepared = {k: F.col(f"_search_{k}") for k in parts}
+    signals = _signals(F.col("_search_text"), prepared, match)
+    searched = L.once(ready, {f"_signal_{k}": c for k, c in signals.items()})
+    x = {k: F.col(f"_signal_{k}") for k in signals}
     answer = L.let(
-        {"text": tidy},
-        lambda t: L.let({"text": t["text"], "low": L.searchable(t["text"], match)}, from_text),
+        _candidates(x), lambda p: _choice(x, {k: p[k] for k in fv.INTENTS}, min_confidence)
     )
-    return df.withColumn("_answer", answer).select(
+    return searched.withColumn("_answer", answer).select(
         *df.columns,
         F.col("_answer.intent").alias("intent"),
         F.round("_answer.confidence", 4).alias("confidence"),

@@ -51,9 +51,31 @@ def test_unknown_match_mode(spark):
         L.searchable(F.lit("x"), "fuzzy")
 
 
-def test_big_lexicons_are_refused(spark):
-    with pytest.raises(ValueError):
-        L.hit_score(F.lit("x"), [str(i) for i in range(L.MAX_WORDS + 1)])
+def test_big_lexicons(spark):
+    words = [f"w{i:04d}" for i in range(2_500)]
+    score = one(spark, ["w0001 w2499", "none", None], lambda c: L.hit_score(c, words))
+    assert score == [2.0, 0.0, 0.0]
+    both = one(spark, ["w0001 w2499"], lambda c: L.mentions(c, {"a": words, "b": ["w0001"]}))
+    assert both == [["a", "b"]]
+    best = one(spark, ["w0001 w2499"], lambda c: L.best_synonym(c, {"d": {w: [w] for w in words}}))
+    assert (best[0]["dimension"], best[0]["value"]) == ("d", "w0001")
+
+
+def test_lexicon_table_of_any_size(spark):
+    rows = [("a", f"w{i}") for i in range(10_000)] + [("b", "W7"), ("b", "cat"), ("b", "cat")]
+    lexicon = spark.createDataFrame(rows, "label string, word string")
+    texts = [(1, "w7, W9999 w7; concat"), (2, None), (3, ""), (4, "Cat")]
+    df = spark.createDataFrame(texts, "id int, text string")
+    found = X.lexicon_scores_by_join(df, ["id"], "text", lexicon)
+    got = sorted((r["id"], r["label"], r["score"], r["hits"]) for r in found.collect())
+    assert got == [(1, "a", 1.5, ["w7", "w9999"]), (1, "b", 0.5, ["W7"]), (4, "b", 0.75, ["cat"])]
+
+
+def test_words_are_searched_in_compiled_code(spark, capsys):
+    df = spark.createDataFrame([(1, "x")], "id int, text string")
+    X.with_mentions(df, "text", m={"a": ["x", "y"]}).filter("size(m) > 0").explain()
+    plan = capsys.readouterr().out
+    assert "lambdafunction" not in plan and plan.count("Contains(") == 2
 
 
 SYNONYMS = {
