@@ -1,0 +1,92 @@
+import random
+
+import corpus_pipeline
+from cohortlens.llm import near_copies, simhash
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def shingles(text):
+    words = text.lower().split()
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def jaccard(a, b):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def edited(rng, words, n):
+    out = list(words)
+    for i in rng.sample(range(len(out)), n):
+        out[i] = f"new{rng.randrange(10**9)}"
+    return out
+
+
+def texts_with_copies(rng):
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for n in (20, 60, 200, 400):
+        for _ in range(8):
+            base = fresh(n)
+            texts.append(" ".join(base))
+            texts += [" ".join(edited(rng, base, k)) for k in (n // 60, n // 45, n // 30, n // 20)]
+    # A bucket far beyond SMALL: near copies, some of them not similar enough to the others.
+    base = fresh(150)
+    texts += [" ".join(edited(rng, base, rng.choice([0, 1, 1, 2, 3, 4]))) for _ in range(90)]
+    texts += ["", " \n", "one two", "One two", "one two three"]
+    rng.shuffle(texts)
+    return texts
+
+
+def brute_groups(texts):
+    parent = list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    sets = [shingles(t) for t in texts]
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a == b or (a and b and 5 * len(a & b) >= 4 * len(a | b)):
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(texts))]
+
+
+def test_groups_match_brute_force(spark, monkeypatch):
+    texts = texts_with_copies(random.Random(4))
+    want = brute_groups(texts)
+    docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "doc_id long, key long, text string").repartition(3)
+    for pairs in (near_copies.PAIRS, 0):  # with 0 every pivot is tried
+        monkeypatch.setattr(near_copies, "PAIRS", pairs)
+        got = {}
+        for r in near_copies.near_copies(docs).collect():
+            got.setdefault(r.component, set()).add(r.doc_id)
+        groups = {}
+        for i, g in enumerate(want):
+            groups.setdefault(g, set()).add(i)
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, groups.values()))
+    assert near_copies.near_copies(docs.limit(0)).count() == 0
+
+
+def test_stage_drops_planted_near_copies_beyond_three_bits(spark):
+    rng = random.Random(11)
+    rows, far = [], 0
+    for i in range(40):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        copy = edited(rng, words, 4)
+        a, b = " ".join(words), " ".join(copy)
+        c = " ".join(edited(rng, words, 20))  # a fifth and more of the shingles differ
+        if jaccard(a, b) < 0.8 or jaccard(a, c) >= 0.8 or jaccard(b, c) >= 0.8:
+            continue
+        fps = [simhash.majority(simhash.shingle_hashes(t.encode(), 3)) for t in (a, b)]
+        far += (fps[0] ^ fps[1]).bit_count() > 3
+        rows += [(10 * i, a, "en", "s", 0), (10 * i + 1, b, "en", "s", 0), (10 * i + 2, c, "en", "s", 0)]
+    assert far > 20
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert got == sorted(r[0] for r in rows if r[0] % 10 != 1)
