@@ -23,7 +23,6 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -112,7 +111,7 @@ def encoder(path: str) -> Encoder:
 
 
 def _cut(
-    batches: Iterator[pa.RecordBatch], path: str, capacity: int, piece: int, keep_ids: bool
+    batches: Iterator[pa.RecordBatch], path: str, capacity: int, piece: int
 ) -> Iterator[pa.RecordBatch]:
     """Pieces of every document of a batch, about a million characters at a time."""
     encode = encoder(path)
@@ -127,23 +126,21 @@ def _cut(
                 size += len(some[-1])
                 end += 1
             rows: list[tuple] = []
-            for doc, raw in zip(ids[at:end], encode(some), strict=True):
-                raw += closing
+            whole = [raw + closing for raw in encode(some)]
+            for doc, raw in zip(ids[at:end], whole, strict=True):
                 total, start = len(raw) // 4, 0
                 while start < total:
                     full = total - start >= capacity
                     n = capacity if full else min(piece, total - start)
-                    own = raw[4 * start : 4 * (start + n)]
-                    kept = np.frombuffer(own, "<u4").astype(np.int32) if keep_ids else None
-                    rows.append((doc, start, n, zlib.crc32(own), total, kept))
+                    rows.append((doc, start, n, total))
                     start += n
             at = end
             columns = list(zip(*rows, strict=True))
-            types = [pa.int64()] * 5 + [pa.list_(pa.int32())]
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names
-            )
+            # The pieces follow each other, so their lengths divide the ids of all texts.
+            ends = np.cumsum([0, *columns[2]], dtype=np.int32)
+            own = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(whole), "<i4")))
+            names = ["doc_id", "start", "length", "doc_tokens", "ids"]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), own], names)
 
 
 def differencing(lengths: list[int], k: int) -> list[list[int]]:
@@ -185,22 +182,27 @@ def windows(lengths: list[int], capacity: int) -> list[list[int]]:
     return []
 
 
-def _place(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    pdf = pdf.sort_values("piece").reset_index(drop=True)
-    lengths = pdf["length"].tolist()
+def _place(table: pa.Table, capacity: int) -> pa.Table:
+    table = table.sort_by("piece")
+    lengths = table["length"].to_pylist()
     rest = [i for i, n in enumerate(lengths) if n < capacity]
     full = [[i] for i, n in enumerate(lengths) if n == capacity]
     found = windows([lengths[i] for i in rest], capacity)
     groups = full + [[rest[i] for i in g] for g in found if g]
-    sequence, offset = np.empty(len(pdf), np.int64), np.empty(len(pdf), np.int64)
+    sequence, offset = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
     for s, group in enumerate(groups):
         at = 0
         for i in group:
             sequence[i], offset[i] = s, at
             at += lengths[i]
-    pdf["sequence_id"] = pdf["batch"] * (2 * BATCH) + sequence
-    pdf["offset"] = offset
-    return pdf.drop(columns=["piece", "batch"])
+    ids = table["ids"]
+    digests = [
+        zlib.crc32(own.values.to_numpy().astype("<u4", copy=False)) for c in ids.chunks for own in c
+    ]
+    first = table["batch"][0].as_py() * (2 * BATCH)
+    out = {c: table[c] for c in ("doc_id", "start", "length")}
+    out |= {"ids_crc32": pa.array(digests, pa.int64()), "doc_tokens": table["doc_tokens"], "ids": ids}
+    return pa.table(out | {"sequence_id": pa.array(first + sequence), "offset": pa.array(offset)})
 
 
 def pack(
@@ -208,26 +210,29 @@ def pack(
     vocabulary: str,
     capacity: int = CAPACITY,
     piece: int = PIECE,
-    keep_ids: bool = True,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, ids, sequence_id, offset.
 
-    ``vocabulary`` is the path of a tokenizer file that every executor can read. Without
-    ``keep_ids`` the column ``ids`` is left out.
+    ``vocabulary`` is the path of a tokenizer file that every executor can read. ``ids_crc32`` is
+    taken from the ids of the placed piece.
     """
-    types = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
     cut = documents(df, id_col, text_col).mapInArrow(
-        partial(_cut, path=vocabulary, capacity=capacity, piece=piece, keep_ids=keep_ids),
-        types + ", ids array<int>",
+        partial(_cut, path=vocabulary, capacity=capacity, piece=piece),
+        "doc_id long, start long, length long, doc_tokens long, ids array<int>",
     )
-    if not keep_ids:
-        cut = cut.drop("ids")
     # The written pieces are numbered by file and row, so a repeated task numbers them alike.
     pieces = stored(cut, "pieces")
     batches = max(1, -(-pieces.count() // (BATCH // 2)))
     pieces = pieces.withColumn("piece", F.monotonically_increasing_id())
     dealt = pieces.withColumn("batch", F.pmod(F.xxhash64("piece"), F.lit(batches)))
-    out = types + (", ids array<int>" if keep_ids else "") + ", sequence_id long, offset long"
-    return dealt.groupBy("batch").applyInPandas(partial(_place, capacity=capacity), out)
+
+    def place(table: pa.Table) -> pa.Table:
+        return _place(table, capacity)
+
+    return dealt.groupBy("batch").applyInArrow(
+        place,
+        "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids array<int>, "
+        "sequence_id long, offset long",
+    )

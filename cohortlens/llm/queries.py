@@ -43,7 +43,8 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cohortlens.llm.packing import pack
 
-    return pack(table(spark, sf_dir, "documents"), word_vocabulary(), keep_ids=False)
+    # The ids go through packing; of them the result shows the digest.
+    return pack(table(spark, sf_dir, "documents"), word_vocabulary()).drop("ids")
 
 
 @query

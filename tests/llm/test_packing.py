@@ -76,3 +76,26 @@ def test_pack_is_an_exact_round_trip(spark, tokenizer):
             at += length
         assert at <= 2048
     assert packing.pack(df.limit(0), PATH).count() == 0
+
+
+def test_pipeline_returns_windows_of_ids(spark, tokenizer):
+    import corpus_pipeline
+
+    rows = [(i, t) for i, t in enumerate(TEXTS)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.packing(spark, docs, "").collect()
+    for i, text in enumerate(TEXTS):
+        own = sorted((r.start, r.ids) for r in got if r.doc_id == i)
+        assert [x for _, ids in own for x in ids] == expected(tokenizer, text)
+
+
+def test_digest_is_that_of_the_placed_ids():
+    import pyarrow as pa
+
+    ids = [[7, 8, 9], [1], [5] * 40]
+    n = pa.array([len(i) for i in ids], pa.int64())
+    columns = {"doc_id": n, "start": n, "length": n, "doc_tokens": n, "ids": pa.array(ids, pa.list_(pa.int32())), "piece": pa.array([2, 0, 1]), "batch": pa.array([3, 3, 3])}
+    got = packing._place(pa.table(columns), 64).to_pylist()
+    assert [r["ids"] for r in got] == [ids[1], ids[2], ids[0]]
+    assert all(r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes()) for r in got)
+    assert len({r["sequence_id"] for r in got}) == 1 and got[0]["sequence_id"] == 3 * 2 * packing.BATCH
