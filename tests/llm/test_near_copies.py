@@ -90,3 +90,12 @@ def test_stage_drops_planted_near_copies_beyond_three_bits(spark):
     docs = spark.createDataFrame(rows, SCHEMA)
     got = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
     assert got == sorted(r[0] for r in rows if r[0] % 10 != 1)
+
+
+def test_stage_keeps_rows_not_ids(spark):
+    rng = random.Random(3)
+    a, b, c = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(50)) for _ in range(3))
+    rows = [(1, a, "en", "s", 0), (1, b, "en", "s", 0), (1, b, "en", "s", 0), (0, c, "en", "s", 0), (1, c, "en", "s", 0), (2, b, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = sorted((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert got == sorted([(0, c), (1, a), (1, b)])
