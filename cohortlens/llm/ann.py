@@ -233,16 +233,24 @@ def nearest(
         size += counts[leaf]
         group_of[leaf] = len(parts) - 1
         parts[-1] = max(1, -(-size // GROUP_ROWS))
-    queries = rows.where(is_query).groupBy("vec_id").agg(F.min("vec").alias("vec"))
+    queries = rows.where(is_query).groupBy("vec_id").agg(F.min("vec").alias("vec"), F.count("*").alias("own"))
     blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = matrix(batch.column("vec"))
             rows = []
-            for i, v in enumerate(vectors):
+            for i, (v, same) in enumerate(zip(vectors, batch.column("own").to_pylist(), strict=True)):
                 own: dict[int, list[int]] = {}
-                for leaf in tree.visits(v, visits):
+                chosen = tree.visits(v, visits)
+                held = sum(counts.get(leaf, 0) for leaf in chosen)
+                if held < k + same:  # further leaves, until k rows besides the query's own are at hand
+                    for leaf in tree.visits(v, len(tree.leaf_of))[len(chosen) :]:
+                        if held >= k + same:
+                            break
+                        chosen = [*chosen, leaf]
+                        held += counts.get(leaf, 0)
+                for leaf in chosen:
                     if leaf in group_of:
                         own.setdefault(group_of[leaf], []).append(leaf)
                 rows += [(i, g, p, held) for g, held in own.items() for p in range(parts[g])]

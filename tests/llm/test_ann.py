@@ -50,3 +50,13 @@ def test_tree_covers_all_leaves():
     tree = fit_tree(x, 20)
     assert set(tree.descend(x)) <= set(range(len(tree.leaf_of)))
     assert sorted(tree.visits(x[0], 10_000)) == list(range(len(tree.leaf_of)))
+
+
+def test_queries_in_small_leaves_get_k_rows(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(60, 8)) * 50
+    x = np.concatenate([centres[i % 60] + rng.normal(size=(1, 8)) * 0.01 for i in range(600)])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = nearest(df, F.col("vec_id") < 60, k=20, target=0.05).groupBy("query_id").count().collect()
+    assert len(got) == 60 and all(r["count"] == 20 for r in got)
