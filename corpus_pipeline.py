@@ -8,13 +8,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import stored, text_of
+from cohortlens.llm.common import stored
 from cohortlens.llm.line_spread import remove_boilerplate
 from cohortlens.llm.mixing import mix_sources
-from cohortlens.llm.near_copies import near_copies
 from cohortlens.llm.packing import pack
 from cohortlens.llm.quality import keep_good
 from cohortlens.llm.queries import word_vocabulary
+from cohortlens.llm.simhash import near_duplicates
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,20 +32,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies (five-word shingles, similarity 0.8) one row stays.
+    """Of each SimHash component (three-word shingles, three bits) one row stays.
 
-    It is the one with the smallest id, of equal ids the one with the least hash of its columns;
-    other texts with the same id are other rows. Documents without an id cannot be told apart by
-    one, and stay.
+    Rows are told apart by a hash of all their columns, so null and repeated ids do no harm. The
+    row with the smallest id stays (a null id comes last, the least hash decides between equal
+    ids), and of rows equal in every column one.
     """
-    named = docs.where("doc_id IS NOT NULL").withColumn("_key", F.xxhash64(*docs.columns))
-    found = near_copies(
-        named.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_key").alias("key"), text_of("text").alias("text"))
-    )
-    kept = found.groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("r")).select(F.col("r.key").alias("_key"))
-    # Rows with equal keys are equal in every column, so it does not matter which one stays.
-    once = named.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
-    return once.union(docs.where("doc_id IS NULL"))
+    hashed = docs.withColumn("_key", F.xxhash64(*docs.columns))
+    found = near_duplicates(hashed, id_col="_key").select(F.col("doc_id").alias("_key"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_key"))).alias("first")
+    named = found.distinct().join(hashed.select("_key", "doc_id").distinct(), "_key")
+    kept = named.groupBy("component_id").agg(first).select(F.col("first._key").alias("_key"))
+    stay = hashed.join(kept, "_key", "left_semi").withColumn("_again", F.xxhash64(F.lit(1), *docs.columns))
+    return stay.dropDuplicates(["_key", "_again"]).select(docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
