@@ -3,6 +3,7 @@ import random
 import corpus_pipeline
 from cohortlens.llm.common import components
 from cohortlens.llm.quality import THRESHOLD, fit, score
+from cohortlens.llm.simhash import majority, shingle_hashes
 
 
 def corpus(spark):
@@ -33,9 +34,9 @@ def test_each_stage_acts_on_all_of_its_input(spark, tmp_path):
     assert kept == set(range(400)) | {2000, None, 2001, 2002}
     assert outs["line dedup"].where("text LIKE '%rights reserved%'").count() == 0
     assert outs["line dedup"].where("n_chars <> length(text)").count() == 0
-    # Copies go, the unnamed one cannot be told apart; null and empty texts are near-duplicates.
+    # Copies go, those without an id too; null and empty texts are near-duplicates.
     ids = [r.doc_id for r in outs["SimHash near-dedup"].collect()]
-    assert sorted(ids, key=str) == sorted([*range(400), None, 2001], key=str)
+    assert sorted(ids) == sorted([*range(400), 2001])
     mixed = outs["mixing sources to target weights"]
     assert {r.doc_id for r in mixed.collect()} == set(ids) and mixed.count() >= len(ids)
     assert outs["packing"].select("doc_id").distinct().count() == len(ids)
@@ -51,3 +52,33 @@ def test_components_of_a_long_chain(spark):
     pairs = [(i, i + 1) for i in range(0, 200)] + [(500, 501), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(201)} | {500: 500, 501: 500}
+
+
+def test_near_dedup_keeps_one_row_per_component(spark):
+    """Against brute force: SimHash bits, then the smallest id of each group."""
+    rng = random.Random(3)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(200)] for _ in range(30)]
+    rows = []
+    for i, words in enumerate(base):
+        for j in range(4):
+            own = list(words)
+            if j:
+                own[rng.randrange(200)] = f"new{j}"
+            rows.append((10 * i + j, " ".join(own), "en", "s", 0))
+    rows += [(5, rows[4][1], "en", "s", 0), (5, rows[4][1], "en", "s", 0), (None, rows[0][1], "en", "s", 0)]
+    rows += [(None, None, None, None, None), (7, "", "en", "s", 0)]
+    fps = [majority(shingle_hashes((r[1] or "").encode(), 3)) for r in rows]
+    group = list(range(len(rows)))
+    for _ in rows:
+        for i, a in enumerate(fps):
+            for j, b in enumerate(fps):
+                if (a ^ b).bit_count() <= 3:
+                    group[i] = group[j] = min(group[i], group[j])
+    want = {}
+    for g, r in zip(group, rows, strict=True):
+        want[g] = min(want.get(g, (True, 0)), (r[0] is None, r[0] or 0))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    got = [(r.doc_id is None, r.doc_id or 0) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    assert sorted(got) == sorted(want.values())
+    assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
