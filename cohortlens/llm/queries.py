@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import line_spread
+from cohortlens.llm import line_spread, rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -136,3 +136,44 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"),
         listed("spans").alias("spans"),
     )
+
+
+@query
+def op11_laesa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortlens.llm.laesa import cluster, with_inertia
+
+    assigned, centroids = cluster(table(spark, sf_dir, "embeddings"))
+    return with_inertia(assigned.withColumnRenamed("id", "vec_id"), centroids)
+
+
+@query
+def op12_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score",
+        "base_failed", "kept",
+    )
+
+
+ORACLES["op12_rules"] = rules.ORACLE
+
+
+@query
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from cohortlens.llm.alignment import align
+
+    paths = (str(public_tokenizers.path(n)) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    found = align(table(spark, sf_dir, "documents"), *paths)
+    text = F.col("groups")
+    digest = F.when(text == "", "").otherwise(F.sha2(text.cast("binary"), 256))
+    docs = found.documents.select(
+        "row", "doc_id", "n_a", "n_b", "n_groups", F.size("links").cast("long").alias("n_links"), digest.alias("groups_sha256")
+    )
+    zero = F.lit(0).cast("long")
+    return docs.join(found.scores, "row", "left").select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links",
+        F.coalesce("n_best", zero).alias("n_best"), F.coalesce("count_sum", zero).alias("count_sum"),
+        "groups_sha256",
+    )
