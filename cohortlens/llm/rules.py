@@ -216,11 +216,13 @@ def judge(
     facts = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(
         F.col("doc_id").cast("long").alias("of")
     ).agg((F.min("quality") > 0).alias("good"))
-    # The labelled documents are read twice; the shuffle that finds them happens once.
-    labelled = stored(docs.join(facts, docs.doc_id == facts.of).select("good", "text"), "labelled")
-    weight = weights(counts(labelled.where("good"), buckets), counts(docs, buckets))
-    cut = best_cut(measured(labelled, weight).where(f"n_words >= {MIN_WORDS}"))
-    out = measured(docs, weight).withColumn("cut", F.lit(cut).cast("long"))
+    # Labels grow with the corpus, so texts and labels always meet in a shuffle, and once: the
+    # cut is found from the stored measures, which are a few numbers per document.
+    trusted = docs.hint("shuffle_merge").join(facts.where("good"), F.col("doc_id") == F.col("of"), "left_semi")
+    weight = weights(counts(trusted, buckets), counts(docs, buckets))
+    scored = stored(measured(docs, weight), "measures")
+    labelled = scored.where(f"n_words >= {MIN_WORDS}").join(facts, F.col("doc_id") == F.col("of"))
+    out = scored.withColumn("cut", F.lit(best_cut(labelled)).cast("long"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     out = out.withColumn("base_failed", failed)
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= F.col("cut"), F.lit(True)))
