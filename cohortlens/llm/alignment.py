@@ -42,9 +42,11 @@ from cohortlens.llm.common import documents, stored
 LONG = 1 << 16  # characters of a text, and of a byte range of a longer text
 FAN = 16  # fragments composed at once
 FREQUENT = 1 << 17  # pairs that every task may hold
-MEMORY = 120_000  # words whose fragments a worker keeps, twice
+MEMORY = 80_000  # words whose fragments a worker keeps, twice
 WORD = 64  # longer words are not kept
-FLUSH = 1 << 22  # characters of one output batch
+RUN = 1 << 14  # characters of new words that go through the tokenizers at once
+FLUSH = 1 << 19  # characters of one output batch
+COUNT = 40  # bits of a count; two share a number
 B_BITS = 15
 
 Batches = Iterator[pa.RecordBatch]
@@ -185,11 +187,6 @@ class Pair:
         found = {x: i for i, x in enumerate(self.a_bytes) if x}
         return tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=found, special_tokens={})
 
-    def encode_a(self, texts: list[str]) -> list[list[int]]:
-        if self.fast is not None and max(map(len, texts), default=0) <= 1000:
-            return [self.fast.encode_ordinary(t) for t in texts]
-        return [e.ids for e in self.slow.encode_batch_fast(texts, add_special_tokens=False)]
-
     def encode_b(self, texts: list[str]) -> list[list[int]]:
         """Ids of texts as they follow other text: none gets a space of its own."""
         own = [t[1:] if t[0] == " " else "\n" + t for t in texts]
@@ -206,36 +203,56 @@ class Pair:
             return [w[1:] for w in _WORD.split(" " + text)]
         return text.split(" ")
 
-    def learn(self, words: list[str]) -> dict[str, tuple]:
-        """(valid, n_a, n_b, n_groups, groups, links) of each word behind a space."""
-        spaced = [" " + w for w in words]
-        short = [i for i, w in enumerate(spaced) if len(w) <= 1000]
-        a_ids: list[list[int]] = [[]] * len(words)
-        for some in (short, sorted(set(range(len(words))).difference(short))):
-            for i, ids in zip(some, self.encode_a([spaced[i] for i in some]), strict=True):
-                a_ids[i] = ids
-        b_ids = self.encode_b(spaced)
-        out, good = {}, []
-        for i, w in enumerate(spaced):
-            raw = w.encode()
-            same = b"".join(map(self.a_bytes.__getitem__, a_ids[i])) == raw == b"".join(map(self.b_bytes.__getitem__, b_ids[i]))
-            if same:
-                good.append(i)
-            else:
-                out[words[i]] = (False, 0, 0, 0, "", b"")
-        if good:
-            a, b = (np.concatenate([np.array(ids[i], np.int64) for i in good]) for ids in (a_ids, b_ids))
-            a_from, b_from = (np.cumsum([0, *(len(ids[i]) for i in good)]) for ids in (a_ids, b_ids))
-            text, links, marks = self.grouped(a, b)
-            at = a_from + b_from
-            ends = np.searchsorted(marks, a_from, "right")  # groups before each word
-            for k, i in enumerate(good):
-                groups = "".join(text[at[k] : at[k + 1]])[:-1]
-                own = links[ends[k] : ends[k + 1]]
-                counts = (len(a_ids[i]), len(b_ids[i]), len(own))
-                out[words[i]] = (True, *counts, groups, own.tobytes())
+    def learn(self, words: list[str]) -> dict[str, tuple | None]:
+        """(counts, groups, links) of each word behind a space; none where bytes differ.
+
+        Words that may follow each other without merging are one sequence for the tokenizers.
+        """
+        out: dict[str, tuple | None] = {}
+        run: list[str] = []
+        size = 0
+        for w in words:
+            if not w or w[-1].isspace() or len(w) > WORD:
+                self._learn([w], out)
+                continue
+            run.append(w)
+            size += len(w)
+            if size > RUN:
+                self._learn(run, out)
+                run, size = [], 0
+        if run:
+            self._learn(run, out)
         return out
 
+    def _learn(self, words: list[str], out: dict[str, tuple | None]) -> None:
+        text = " " + " ".join(words)
+        raw = text.encode()
+        a_ids = self.fast.encode_ordinary(text) if self.fast is not None and (len(words) > 1 or len(text) <= 1000) else self.slow_a(text)
+        b_ids = self.encode_b([text])[0]
+        if not b"".join(map(self.a_bytes.__getitem__, a_ids)) == raw == b"".join(map(self.b_bytes.__getitem__, b_ids)):
+            if len(words) == 1:
+                out[words[0]] = None
+            else:
+                half = len(words) // 2
+                self._learn(words[:half], out)
+                self._learn(words[half:], out)
+            return
+        a, b = np.array(a_ids, np.int64), np.array(b_ids, np.int64)
+        text_of, links, marks = self.grouped(a, b)
+        # Words end where both sequences end: their tokens and groups follow from the bytes.
+        ends = np.cumsum([0, *(len(w.encode()) + 1 for w in words)])
+        a_from = np.searchsorted(np.cumsum(self.a_size[a]), ends, "right")
+        b_from = np.searchsorted(np.cumsum(self.b_size[b]), ends, "right")
+        at = (a_from + b_from).tolist()
+        groups = (np.searchsorted(marks, a_from, "right") * 4).tolist()
+        counts = (np.diff(a_from) | np.diff(b_from) << COUNT).tolist()
+        codes = links.tobytes()
+        for k, w in enumerate(words):
+            out[w] = (counts[k], "".join(text_of[at[k] : at[k + 1]])[:-1], codes[groups[k] : groups[k + 1]])
+
+    def slow_a(self, text: str) -> list[int]:
+        return self.slow.encode(text, add_special_tokens=False).ids
+
     def grouped(self, a: np.ndarray, b: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Tokens of one sequence as text in the order of the groups, link codes, and the number
         of A tokens up to each group's end. Both sequences cover the same bytes."""
@@ -262,19 +279,18 @@ class Pair:
         missing = set().union(*divided).difference(self.known)
         kept = {w: self.before[w] for w in missing if w in self.before}
         self.known |= kept
-        found = self.learn(sorted(missing.difference(kept)))
-        here = self.known | found if any(len(w) > WORD for w in found) else None
-        self.known.update(found)
-        own = here or self.known
+        found = self.learn(list(missing.difference(kept)))
+        self.known |= found
         for words in divided:
-            parts = [own[w] for w in words]
-            if parts and all([p[0] for p in parts]):
-                _, n_a, n_b, n_groups, groups, links = zip(*parts, strict=True)
-                yield sum(n_a), sum(n_b), sum(n_groups), ";".join(groups), b"".join(links)
+            parts = list(map(self.known.__getitem__, words))
+            if parts and None not in parts:
+                counts, groups, links = zip(*parts, strict=True)
+                total, codes = sum(counts), b"".join(links)
+                yield total & ((1 << COUNT) - 1), total >> COUNT, len(codes) // 4, ";".join(groups), codes
             else:
                 yield 0, 0, 0, "", b""
-        if here:
-            for w in [w for w in found if len(w) > WORD]:
+        for w in found:
+            if len(w) > WORD:
                 del self.known[w]
 
     def ranges(self, text: str, size: int = LONG) -> Iterator[tuple[str, int, str, int]]:
@@ -303,7 +319,7 @@ class Pair:
 
     def fragment(self, a_text: str, a_at: int, b_text: str, b_at: int) -> Fragment | None:
         """The fragment of a byte range; none if a tokenizer does not reproduce its bytes."""
-        a = np.array(self.slow.encode(a_text, add_special_tokens=False).ids if a_text else [], np.int64)
+        a = np.array(self.slow_a(a_text) if a_text else [], np.int64)
         b = np.array(self.encode_b([b_text])[0] if b_text else [], np.int64)
         for ids, names, text in ((a, self.a_bytes, a_text), (b, self.b_bytes, b_text)):
             if b"".join([names[i] for i in ids.tolist()]) != text.encode():
@@ -363,7 +379,7 @@ def _whole(batches: Batches, paths: tuple[str, str]) -> Batches:
         ids, texts, at = batch.column("doc_id").to_pylist(), batch.column("text"), 0
         while at < len(ids):
             some, size = [], 0
-            while at + len(some) < len(ids) and size < FLUSH // 4:
+            while at + len(some) < len(ids) and size < FLUSH:
                 some.append(texts[at + len(some)].as_py())
                 size += len(some[-1])
             yield _batch(ids[at : at + len(some)], list(tool.aligned(some)))
