@@ -8,6 +8,7 @@ from checks.registry import check
 from checks.views import SALES_MODEL, WITH_D, discharges, sales, sales_sql, table
 from cohortlens import Filter, Metric, SortKey
 from cohortlens.operators import aggregate as A
+from cohortlens.operators.exact import Measure, measure
 from cohortlens.plans import reports
 from cohortlens.presets import discharge
 from cohortlens.presets import fixed_values as fv
@@ -272,3 +273,47 @@ def top_groups(spark, sf_dir):
 def group_share(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
     return A.group_share(lines, "l_returnflag", "l_linestatus", decimals=None)
+
+
+@check(
+    "sum_fine_amounts",
+    """SELECT l_returnflag, l_linestatus,
+        CAST(SUM(l_partkey % 1000 * 4) AS DOUBLE) / 10000 AS sum_fine,
+        CAST(SUM(l_partkey % 1000 * 4) AS DOUBLE) / 10000 / COUNT(l_partkey) AS avg_fine,
+        MAX(l_quantity) AS max_quantity, COUNT(*) AS n
+        FROM lineitem GROUP BY 1, 2""",
+)
+def sum_fine_amounts(spark, sf_dir):
+    """Amounts with four decimals, most of them below a cent."""
+    fine = (F.col("l_partkey") % 1000 * 4).cast("double") / 10000
+    return measure(
+        table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"],
+        {
+            "sum_fine": Measure("exact_sum", fine), "avg_fine": Measure("exact_avg", fine),
+            "max_quantity": Measure("max", F.col("l_quantity")), "n": Measure("count"),
+        },
+    )
+
+
+@check(
+    "sum_wide_range",
+    """WITH cents AS (
+          SELECT l_returnflag, l_linenumber, CAST(round(l_extendedprice * 100) AS HUGEINT) AS c FROM lineitem
+        ), parts AS (
+          SELECT l_returnflag,
+            SUM(CASE WHEN l_linenumber = 1 THEN c WHEN l_linenumber = 2 THEN -c ELSE 0 END) AS huge,
+            SUM(CASE WHEN l_linenumber = 3 THEN c ELSE 0 END) AS large,
+            SUM(CASE WHEN l_linenumber > 3 THEN c ELSE 0 END) AS small
+          FROM cents GROUP BY 1
+        )
+        SELECT l_returnflag, CAST(huge * 1208925819614629174706176 + large * 1099511627776 + small AS DOUBLE)
+          / 1099511627776 AS total FROM parts""",
+)
+def sum_wide_range(spark, sf_dir):
+    """Values 2**80 apart, of both signs: a sum of doubles would lose the small ones."""
+    line, cents = F.col("l_linenumber"), F.round(F.col("l_extendedprice") * 100).cast("double")
+    wide = (
+        F.when(line == 1, cents * 2.0**40).when(line == 2, cents * -(2.0**40))
+        .when(line == 3, cents).otherwise(cents * 2.0**-40)
+    )
+    return measure(table(spark, sf_dir, "lineitem"), ["l_returnflag"], {"total": Measure("exact_sum", wide)})

@@ -221,8 +221,8 @@ SALES_MODEL = SemanticModel(
         Metric("line_count", "count", decimals=0),
         Metric("avg_quantity", "avg", "l_quantity", 1),
         Metric("max_quantity", "max", "l_quantity", 0),
-        Metric("avg_price", "avg", "l_extendedprice", scale=2),
-        Metric("sum_price", "sum", "l_extendedprice", scale=2),
+        Metric("avg_price", "avg", "l_extendedprice", exact=True),
+        Metric("sum_price", "sum", "l_extendedprice", exact=True),
     ),
     filter_columns=(("l_quantity", "double"), ("l_extendedprice", "double")),
 )

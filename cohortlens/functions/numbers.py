@@ -55,17 +55,3 @@ def to_money(c: Column) -> Column:
 def finite(c: Column) -> Column:
     """C10, first half: NaN and infinities to null."""
     return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
-
-
-def exact_sum(c: Column, scale: int = 2) -> Column:
-    """Sum of a money column through a decimal accumulator, as double.
-
-    The result does not depend on the order in which partitions are merged, so a task
-    that is run again after a lost executor cannot change it.
-    """
-    return F.sum(c.cast(f"decimal(18,{scale})")).cast("double")
-
-
-def exact_avg(c: Column, scale: int = 2) -> Column:
-    """Mean over the non-null values, built on ``exact_sum``; null for no values."""
-    return exact_sum(c, scale) / F.nullif(F.count(c), F.lit(0))

@@ -13,7 +13,7 @@ from functools import cached_property
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cohortlens.functions.numbers import exact_avg, exact_sum
+from cohortlens.operators.exact import Measure
 
 EQUALITY_OPS = frozenset({"eq", "ne", "in", "not_in"})
 RANGE_OPS = frozenset({"gte", "gt", "lte", "lt", "between"})
@@ -40,14 +40,14 @@ class Dimension:
 
 @dataclass(frozen=True)
 class Metric:
-    """A named aggregate. ``scale`` asks for exact decimal accumulation of that scale."""
+    """A named aggregate. ``exact`` asks for sums that drop no digit of a double."""
 
     key: str
     agg: str
     column: str | None = None
     decimals: int = 2
     unit: str = ""
-    scale: int | None = None
+    exact: bool = False
 
     def __post_init__(self) -> None:
         if self.agg not in AGGREGATES:
@@ -56,16 +56,17 @@ class Metric:
             raise ValueError(f"metric {self.key!r} needs a column")
 
     def expr(self) -> Column:
-        """A1a-A1d."""
+        """A1a-A1d as Spark's own aggregate."""
+        if self.exact and self.agg in ("sum", "avg"):
+            raise ValueError(f"metric {self.key!r} is exact: use measure()")
         if self.agg == "count":
             return F.count(F.lit(1)).alias(self.key)
-        c = F.col(self.column)
-        if self.agg == "max":
-            return F.max(c).alias(self.key)
-        if self.scale is not None:
-            exact = {"sum": exact_sum, "avg": exact_avg}[self.agg]
-            return exact(c, self.scale).alias(self.key)
-        return {"sum": F.sum, "avg": F.avg}[self.agg](c).alias(self.key)
+        return {"sum": F.sum, "avg": F.avg, "max": F.max}[self.agg](self.column).alias(self.key)
+
+    def measure(self) -> Measure:
+        """A1a-A1d where some metric of the request is exact."""
+        kind = f"exact_{self.agg}" if self.exact and self.agg in ("sum", "avg") else self.agg
+        return Measure(kind, None if self.agg == "count" else F.col(self.column))
 
 
 @dataclass(frozen=True)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.numbers import finite
 from cohortlens.model import Filter, Metric, SemanticModel, SortKey
+from cohortlens.operators.exact import Measure, measure
 from cohortlens.operators.filters import apply_filters
 
 
@@ -46,12 +47,12 @@ def aggregate(
     if limit is not None and limit < 1:
         raise ValueError(f"limit must be positive, got {limit}")
     order = sort_columns(model, dims, measures, sort)
-    groups = (
-        apply_filters(df, model, filters)
-        .groupBy(*[d.column for d in dims])
-        .agg(*[m.expr() for m in measures])
-        .orderBy(*order)
-    )
+    rows, keys = apply_filters(df, model, filters), [d.column for d in dims]
+    if any(m.exact for m in measures):
+        groups = measure(rows, keys, {m.key: m.measure() for m in measures})
+    else:
+        groups = rows.groupBy(*keys).agg(*[m.expr() for m in measures])
+    groups = groups.orderBy(*order)
     top = groups if limit is None else groups.limit(limit)
     return normalise_result(top, measures) if normalise else top
 
@@ -78,9 +79,16 @@ def rate_pct(condition: Column) -> Column:
     return F.avg(F.when(condition, 1.0).otherwise(0.0)) * 100
 
 
-def indicators(df: DataFrame, **expressions: Column) -> DataFrame:
+def indicators(df: DataFrame, **expressions: Column | Measure) -> DataFrame:
     """A3: one row of figures over the whole table, from one scan."""
-    return df.agg(*[e.alias(name) for name, e in expressions.items()])
+    return _measured(df, [], expressions)
+
+
+def _measured(df: DataFrame, keys: Sequence[str], figures: dict[str, Column | Measure]) -> DataFrame:
+    """Aggregates as columns, or as measures where exact ones are among them."""
+    if all(isinstance(f, Measure) for f in figures.values()):
+        return measure(df, keys, figures)
+    return df.groupBy(*keys).agg(*[f.alias(name) for name, f in figures.items()])
 
 
 # Tasks that share the distinct values of one field.
@@ -112,12 +120,12 @@ def value_distribution(df: DataFrame, fields: Sequence[str], n: int = 10) -> Dat
 
 
 def top_groups(
-    df: DataFrame, keys: Sequence[str], n: int, count_name: str = "n_rows", **measures: Column
+    df: DataFrame, keys: Sequence[str], n: int, count_name: str = "n_rows", **measures: Column | Measure
 ) -> DataFrame:
     """The ``n`` largest groups with further measures; the keys break ties."""
-    sized = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias(count_name), *[m.alias(k) for k, m in measures.items()]
-    )
+    exact = any(isinstance(m, Measure) for m in measures.values())
+    size = Measure("count") if exact else F.count(F.lit(1))
+    sized = _measured(df, keys, {count_name: size, **measures})
     return sized.orderBy(F.desc(count_name), *[F.asc(k) for k in keys]).limit(n)
 
 

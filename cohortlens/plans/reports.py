@@ -7,9 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.numbers import exact_avg, exact_sum
 from cohortlens.operators import aggregate as A
 from cohortlens.operators import scoring as S
+from cohortlens.operators.exact import Measure
 from cohortlens.presets import discharge
 from cohortlens.presets import fixed_values as fv
 
@@ -24,29 +24,29 @@ class Overview:
 def overview_figures(df: DataFrame, rounded: bool = True) -> DataFrame:
     """The eight figures of the overview in one row."""
     charges, costs = F.col("total_charges"), F.col("total_costs")
-    figures = {
-        "avg_length_of_stay": F.avg("length_of_stay"),
-        "avg_total_charges": exact_avg(charges),
-        "avg_total_costs": exact_avg(costs),
-        "sum_total_charges": exact_sum(charges),
-        "sum_total_costs": exact_sum(costs),
-        "avg_severity_of_illness": F.avg("apr_severity_of_illness_code"),
-        "emergency_rate_pct": A.rate_pct(F.col("emergency_department_indicator") == "Y"),
-    }
-    shown = {k: F.round(c, 2) if rounded else c for k, c in figures.items()}
-    return A.indicators(df, discharge_count=F.count(F.lit(1)), **shown)
+    emergency = F.col("emergency_department_indicator") == "Y"
+    figures = A.indicators(
+        df,
+        discharge_count=Measure("count"),
+        avg_length_of_stay=Measure("avg", F.col("length_of_stay")),
+        avg_total_charges=Measure("exact_avg", charges),
+        avg_total_costs=Measure("exact_avg", costs),
+        sum_total_charges=Measure("exact_sum", charges),
+        sum_total_costs=Measure("exact_sum", costs),
+        avg_severity_of_illness=Measure("avg", F.col("apr_severity_of_illness_code")),
+        emergency_rate_pct=Measure("avg", F.when(emergency, 100).otherwise(0)),
+    )
+    if not rounded:
+        return figures
+    count, *rest = figures.columns
+    return figures.select(count, *[F.round(c, 2).alias(c) for c in rest])
 
 
 def top_diseases(df: DataFrame, n: int = 10, rounded: bool = True) -> DataFrame:
     """The most frequent diseases with their mean charges."""
-    mean = exact_avg(F.col("total_charges"))
-    return A.top_groups(
-        df,
-        ["ccsr_diagnosis_description"],
-        n,
-        "discharge_count",
-        avg_total_charges=F.round(mean, 2) if rounded else mean,
-    )
+    mean = Measure("exact_avg", F.col("total_charges"))
+    top = A.top_groups(df, ["ccsr_diagnosis_description"], n, "discharge_count", avg_total_charges=mean)
+    return top.withColumn("avg_total_charges", F.round("avg_total_charges", 2)) if rounded else top
 
 
 def overview(df: DataFrame, n: int = 10) -> Overview:

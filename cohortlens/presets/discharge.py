@@ -46,7 +46,7 @@ MODEL = SemanticModel(
         if c not in _NOT_GROUPED
     ),
     metrics=tuple(
-        Metric(key, agg, column, decimals, unit, 2 if column in fv.MONEY_COLUMNS else None)
+        Metric(key, agg, column, decimals, unit, column in fv.MONEY_COLUMNS)
         for key, agg, column, decimals, unit in fv.METRICS
     ),
     filter_columns=(
