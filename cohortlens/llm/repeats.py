@@ -37,7 +37,9 @@ U = np.uint64
 WINDOW = 16
 SPARSE, DENSE = 96, 12  # one trigger in so many positions
 CHUNK = 48  # starts that one run holds at most
-BLOCK = 1 << 20  # bytes worked on at a time
+BLOCK = 1 << 17  # bytes worked on at a time: about 60 times as much memory while they are parsed
+
+FLUSH = 1 << 22  # bytes of kept texts in one output batch
 
 _MADE: dict[str, np.ndarray] = {}
 
@@ -205,36 +207,33 @@ def _cut(length: int) -> Callable:
     """Bytes that stay, and the removed spans, of documents with their repeated starts."""
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
+    def cut(data: np.ndarray, found: pa.Scalar) -> tuple[bytes, list[dict]]:
+        lo = found.values.field("start").to_numpy()
+        hi = lo + found.values.field("n").to_numpy() + length - 1
+        edge = np.zeros(len(data) + 1, np.int32)
+        np.add.at(edge, lo, 1)
+        np.add.at(edge, hi, -1)
+        gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
+        turn = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8)))
+        return data[~gone].tobytes(), [{"start": a, "end": b} for a, b in turn.reshape(-1, 2).tolist()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
-            sizes, kept, spans = [], [], []
+            first, held, sizes, kept, spans = 0, 0, [], [], []
             for i in range(len(batch)):
                 data = np.frombuffer(texts[i].as_buffer(), np.uint8)
                 found = batch.column("found")[i]
+                own, removed = cut(data, found) if found.is_valid else (texts[i].as_py(), [])
                 sizes.append(len(data))
-                if not found.is_valid:
-                    kept.append(texts[i].as_py())
-                    spans.append([])
-                    continue
-                lo = found.values.field("start").to_numpy()
-                hi = lo + found.values.field("n").to_numpy() + length - 1
-                edge = np.zeros(len(data) + 1, np.int64)
-                np.add.at(edge, lo, 1)
-                np.add.at(edge, hi, -1)
-                gone = np.cumsum(edge[:-1]) > 0
-                kept.append(data[~gone].tobytes())
-                turn = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8)))
-                spans.append([{"start": a, "end": b} for a, b in turn.reshape(-1, 2).tolist()])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array(sizes, pa.int64()),
-                    pa.array(kept, pa.binary()),
-                    pa.array(spans, spans_type),
-                ],
-                ["doc_id", "n_bytes", "kept", "spans"],
-            )
+                kept.append(own)
+                spans.append(removed)
+                held += len(own)
+                if held > FLUSH or i == len(batch) - 1:
+                    columns = [pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, spans_type)]
+                    ids = batch.column("doc_id").slice(first, len(sizes))
+                    yield pa.RecordBatch.from_arrays([ids, *columns], ["doc_id", "n_bytes", "kept", "spans"])
+                    first, held, sizes, kept, spans = i + 1, 0, [], [], []
 
     return run
 

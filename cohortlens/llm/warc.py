@@ -34,6 +34,7 @@ from cohortlens.llm.common import fresh_path
 SEGMENT = 1 << 15  # bytes of a block in one record
 CHUNK = 1 << 13  # bytes of a chunk of the transfer framing
 RECORDS_PER_FILE = 2_000
+FLUSH = 1 << 22  # bytes of payloads or segments in one output batch
 END = b"\r\n\r\n"
 HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -113,7 +114,7 @@ def _write(segment: int, min_bytes: int) -> Callable:
                 revisit = first is not None and first != page and len(payload) >= min_bytes
                 out += page_records(page, url, payload, first, segment, revisit)
                 size += len(payload)
-                if size > 1 << 22:
+                if size > FLUSH:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
                     out, size = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
@@ -197,26 +198,39 @@ def _read(keep: bool) -> Callable:
 
     schema = to_arrow_schema(StructType.fromDDL(f"{SCHEMA}, part struct<{_as_struct(SEGMENT_SCHEMA)}>"))
 
+    def rows_of(archive: bytes) -> Iterator[tuple[tuple, int]]:
+        """Rows and the bytes they hold."""
+        for fields, block in parsed(archive):
+            page, digest = _number(fields.get("x-page-id")), fields.get("warc-payload-digest", "")[5:]
+            kind, number = fields["warc-type"], _number(fields.get("warc-segment-number"))
+            if number is not None:
+                origin = fields.get("warc-segment-origin-id", fields["warc-record-id"])
+                total = _number(fields.get("warc-segment-total-length"))
+                part = dict(zip(SEGMENT_NAMES, (origin, number, total, page, digest, block), strict=True))
+                yield (None,) * len(NAMES) + (part,), len(block)
+            elif kind == "revisit":
+                n, to = int(fields["x-payload-length"]), _number(fields.get("x-refers-to-page"))
+                yield (page, None, n, digest, kind, to, None), 0
+            else:
+                yield (*_row(page, block, digest, keep), None), len(block) if keep else 0
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, size = [], 0
         for batch in batches:
             for content in batch.column("content"):
-                unzip, out = zlib.decompressobj(31), []
-                data = unzip.decompress(content.as_py()) + unzip.flush()
-                for fields, block in parsed(data):
-                    page, digest = _number(fields.get("x-page-id")), fields.get("warc-payload-digest", "")[5:]
-                    kind, number = fields["warc-type"], _number(fields.get("warc-segment-number"))
-                    if number is not None:
-                        origin = fields.get("warc-segment-origin-id", fields["warc-record-id"])
-                        total = _number(fields.get("warc-segment-total-length"))
-                        part = dict(zip(SEGMENT_NAMES, (origin, number, total, page, digest, block), strict=True))
-                        out.append((None,) * len(NAMES) + (part,))
-                    elif kind == "revisit":
-                        n, to = int(fields["x-payload-length"]), _number(fields.get("x-refers-to-page"))
-                        out.append((page, None, n, digest, kind, to, None))
-                    else:
-                        out.append((*_row(page, block, digest, keep), None))
-                rows = [dict(zip([*NAMES, "part"], r, strict=True)) for r in out]
-                yield pa.RecordBatch.from_pylist(rows, schema)
+                unzip = zlib.decompressobj(31)
+                for row, held in rows_of(unzip.decompress(content.as_py()) + unzip.flush()):
+                    out.append(row)
+                    size += held
+                    if size > FLUSH or len(out) >= RECORDS_PER_FILE:
+                        yield batch_of(out)
+                        out, size = [], 0
+        if out:
+            yield batch_of(out)
 
     return run
 
