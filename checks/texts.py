@@ -63,6 +63,43 @@ def lexicon_large(spark, sf_dir):
     return rows.withColumn("hits", F.array_join("hits", ","))
 
 
+# The heads of the benchmark's passages, two and three words long, and the part names.
+_PHRASES = r"""phrases AS (
+    SELECT DISTINCT CAST(item_id % 5 AS VARCHAR) AS label, array_to_string(string_split(text, ' ')[1:n], ' ') AS word
+    FROM benchmark, (VALUES (2), (3)) AS sizes(n)
+    UNION SELECT DISTINCT 'part', p_name FROM part
+)"""
+
+
+def phrase_table(spark, sf_dir):
+    heads = table(spark, sf_dir, "benchmark").withColumn("n", F.explode(F.array(F.lit(2), F.lit(3))))
+    words = F.array_join(F.slice(F.split("text", " "), F.lit(1), F.col("n")), " ")
+    heads = heads.select((F.col("item_id") % 5).cast("string").alias("label"), words.alias("word"))
+    return heads.union(table(spark, sf_dir, "part").select(F.lit("part"), "p_name"))
+
+
+@check(
+    "lexicon_phrases",
+    f"""WITH {_PHRASES}, d AS (
+          SELECT doc_id, lower(text) AS low,
+            concat(' ', regexp_replace(lower(text), '[^a-z0-9_+]+', ' ', 'g'), ' ') AS padded FROM documents
+        ), w AS (
+          SELECT label, word, regexp_matches(word, '[^\x00-\x7f]') AS anywhere, lower(word) AS low,
+            concat(' ', trim(regexp_replace(lower(word), '[^a-z0-9_+]+', ' ', 'g')), ' ') AS alone
+          FROM phrases WHERE word <> ''
+        )
+        SELECT doc_id, label, SUM(LEAST(1.0::DOUBLE, length(word) / 4)) AS score,
+          string_agg(word, ',' ORDER BY word) AS hits
+        FROM d JOIN w ON CASE WHEN anywhere THEN contains(d.low, w.low) ELSE contains(padded, alone) END
+        GROUP BY doc_id, label""",
+)
+def lexicon_phrases(spark, sf_dir):
+    """Phrases of two and three words as a lexicon table; those with accents match anywhere."""
+    docs = table(spark, sf_dir, "documents")
+    rows = X.lexicon_scores_by_join(docs, ["doc_id"], "text", phrase_table(spark, sf_dir))
+    return rows.withColumn("hits", F.array_join("hits", ","))
+
+
 _TOKEN_ROWS = [
     ("articles", "the", 0.75), ("articles", "les", 0.75), ("articles", "der", 0.75),
     ("links", "and", 0.75), ("links", "und", 0.75), ("links", "et", 0.5),
@@ -112,6 +149,45 @@ def best_synonym(spark, sf_dir):
     return named.select("conv_id", "turn", "dimension", "value")
 
 
+def synonym_table(spark):
+    rows = [(place, *row) for place, row in enumerate(_VALUE_ROWS)]
+    return spark.createDataFrame(rows, "place int, dimension string, value string, word string")
+
+
+@check(
+    "best_synonym_table",
+    f"""WITH {_VALUES}, v AS (
+          SELECT seq AS place, dim, val, word FROM w
+          UNION ALL SELECT 1000000 + p_partkey, 'part', p_name, string_split(p_name, ' ')[1] FROM part
+        ), h AS (SELECT conv_id, turn, dim, val, row_number() OVER (PARTITION BY conv_id, turn
+              ORDER BY length(word) DESC, place) AS r
+              FROM conversations JOIN v ON contains(lower(text), lower(word)))
+        SELECT c.conv_id, c.turn, h.dim AS dimension, h.val AS value FROM conversations c
+        LEFT JOIN h ON h.conv_id = c.conv_id AND h.turn = c.turn AND h.r = 1""",
+)
+def best_synonym_table(spark, sf_dir):
+    """The value words and the first words of the part names as one synonym table."""
+    parts = table(spark, sf_dir, "part").select(
+        (F.col("p_partkey") + 1_000_000).cast("int"), F.lit("part"), "p_name", F.split("p_name", " ")[0]
+    )
+    turns = table(spark, sf_dir, "conversations")
+    return X.best_synonym_by_join(turns, ["conv_id", "turn"], "text", synonym_table(spark).union(parts))
+
+
+@check(
+    "filters_table",
+    f"""WITH {_VALUES}, h AS (
+          SELECT DISTINCT conv_id, turn, dim, val FROM conversations JOIN w ON contains(lower(text), lower(word)))
+        SELECT conv_id, turn, dim AS field, CASE WHEN COUNT(*) > 1 THEN 'in' ELSE 'eq' END AS op,
+          string_agg(val, '|' ORDER BY val) AS values FROM h GROUP BY 1, 2, 3""",
+)
+def filters_table(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    values = synonym_table(spark).withColumnRenamed("dimension", "field")
+    found = X.filters_by_join(turns, ["conv_id", "turn"], "text", values)
+    return found.withColumn("values", F.array_join("values", "|"))
+
+
 # Raw values under a dimension: some known synonyms, some canonical values, some unknown.
 RAW_VALUES = {
     "o_orderkey": "o_orderkey",

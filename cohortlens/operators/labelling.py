@@ -25,26 +25,136 @@ def lexicon_scores(
     return found.select(*keep, F.inline(L.scored(F.col("_search_found"))))
 
 
+def word_hits_by_join(
+    df: DataFrame, key: Sequence[str], text: str, lexicon: DataFrame, match: str = "token"
+) -> DataFrame:
+    """Rows (*key, columns of ``lexicon``) for every entry whose ``word`` occurs in the text.
+
+    The lexicon is a table of any size, with words, phrases and any script; the rules are those of
+    ``lexicon_scores`` with the same ``match``. Entries that must stand alone are compared with the
+    text's runs of as many words, one equality join. Entries that may occur anywhere meet the text
+    by their rarest run of up to ``GRAM`` characters, and what meets is searched for in the text. No
+    text is compared with an entry that shares no such run. ``key`` identifies a row; empty words
+    match nothing; each entry counts once per text.
+    """
+    if match not in ("substring", "token"):
+        raise ValueError(f"unknown match mode: {match!r}")
+    entries = lexicon.where("word IS NOT NULL").distinct().withColumn("_low", F.lower("word"))
+    alone = F.lit(match == "token") & ~F.rlike("word", F.lit(r"[^\x00-\x7f]"))
+    texts = df.select(*key, F.lower(text).alias("_text"))
+    columns = [*key, *lexicon.columns]
+    phrases = entries.where(alone).withColumn("_phrase", _run_of_words("_low"))
+    return (
+        _phrase_hits(texts, phrases.where("_phrase <> ''")).select(columns)
+        .union(_gram_hits(texts, key, entries.where(~alone & (F.col("_low") != ""))).select(columns))
+    )
+
+
+GRAM = 3  # characters by which an entry is looked up
+
+
+def _run_of_words(low: str) -> Column:
+    return F.trim(F.regexp_replace(low, L.NOT_WORD, " "))
+
+
+def _phrase_hits(texts: DataFrame, phrases: DataFrame) -> DataFrame:
+    """Texts cut into runs of each number of words that a phrase has."""
+    sized = phrases.withColumn("_size", F.size(F.split("_phrase", " ")))
+    # Few rows: one per number of words.
+    sizes = sorted(r["_size"] for r in sized.select("_size").distinct().collect())
+    words = F.split(_run_of_words("_text"), " ")
+
+    def runs(n: int) -> Column:
+        starts = F.when(F.size("_words") >= n, F.sequence(F.lit(0), F.size("_words") - n))
+        one = F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(F.col("_words"), i + k) for k in range(n)]))
+        return F.array_distinct(F.col("_words") if n == 1 else one)
+
+    every = F.concat(*[F.coalesce(runs(n), F.array().cast("array<string>")) for n in sizes]) if sizes else F.array().cast("array<string>")
+    cut = texts.withColumn("_words", words).withColumn("_phrase", F.explode(every)).drop("_text", "_words")
+    return cut.join(sized, "_phrase")
+
+
+def _grams(low: str, sizes: Sequence[int]) -> tuple[Column, Column]:
+    """The characters, and from a column ``_chars`` of them all runs of the given sizes, each once."""
+    chars = F.split(low, "")
+
+    def runs(n: int) -> Column:
+        starts = F.when(F.length(low) >= n, F.sequence(F.lit(0), F.length(low) - n))
+        return F.transform(starts, lambda i: F.concat(*[F.get(F.col("_chars"), i + k) for k in range(n)]))
+
+    none = F.array().cast("array<string>")
+    return chars, F.array_distinct(F.concat(*[F.coalesce(runs(n), none) for n in sizes]))
+
+
+def _gram_hits(texts: DataFrame, key: Sequence[str], entries: DataFrame) -> DataFrame:
+    chars, grams = _grams("_low", range(1, GRAM + 1))
+    own = entries.withColumn("_chars", chars).withColumn("_gram", F.explode(grams)).drop("_chars")
+    # An entry's grams are of one size: GRAM, or its own length.
+    own = own.where(F.length("_gram") == F.least(F.lit(GRAM), F.length("_low")))
+    chars, grams = _grams("_text", range(1, GRAM + 1))
+    seen = texts.withColumn("_chars", chars).withColumn("_gram", F.explode(grams)).select(*key, "_gram")
+    needed = own.select("_gram").distinct()
+    seen = seen.join(needed, "_gram", "left_semi")
+    # A gram that no text has rules its entry out; of the others the rarest finds it.
+    common = seen.groupBy("_gram").agg(F.count("*").alias("_n"))
+    rest = [c for c in own.columns if c != "_gram"]
+    ranked = own.join(common, "_gram", "left").groupBy(*rest).agg(
+        F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("g"))).alias("_best")
+    )
+    found = ranked.where("_best.n > 0").withColumn("_gram", F.col("_best.g")).drop("_best")
+    met = seen.join(found, "_gram").drop("_gram")
+    named = texts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], "_text")
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)]
+    return met.join(named, same).where(F.contains("_text", "_low"))
+
+
 def lexicon_scores_by_join(
-    df: DataFrame, key: Sequence[str], text: str, lexicon: DataFrame
+    df: DataFrame, key: Sequence[str], text: str, lexicon: DataFrame, match: str = "token"
 ) -> DataFrame:
     """X1 for a lexicon table (label, word) of any size: rows (*key, label, score, hits).
 
-    Each word is one word in Latin letters or digits and must stand alone in the text, as with
-    ``match="token"``; hits are in alphabetical order. A text is cut into words once, whatever
-    the size of the lexicon. ``key`` identifies a row; texts without a hit give no row.
+    See ``word_hits_by_join``; hits are in alphabetical order, texts without a hit give no row.
     """
-    words = F.split(F.lower(text), L.NOT_WORD)
-    tokens = df.select(*key, F.explode(F.array_distinct(words)).alias("_word"))
-    entries = lexicon.select(
-        "label", "word", F.lower("word").alias("_word"),
-        F.least(F.lit(1.0), F.length("word") / 4).alias("_weight"),
-    ).where("_word <> ''").distinct()
-    return tokens.join(entries, "_word").groupBy(*key, "label").agg(
-        F.sum("_weight").alias("score"), F.sort_array(F.collect_list("word")).alias("hits")
+    weight = F.least(F.lit(1.0), F.length("word") / 4)
+    hits = word_hits_by_join(df, key, text, lexicon.select("label", "word"), match)
+    return hits.groupBy(*key, "label").agg(
+        F.sum(weight).alias("score"), F.sort_array(F.collect_list("word")).alias("hits")
     )
 
 
+def best_synonym_by_join(
+    df: DataFrame, key: Sequence[str], text: str, values: DataFrame, match: str = "substring"
+) -> DataFrame:
+    """X2 for a table (dimension, value, word, place) of any size: one row per text, with
+    ``dimension`` and ``value`` of the longest word that occurs, the least ``place`` on a tie;
+    null where no word occurs."""
+    hits = word_hits_by_join(df, key, text, values.select("dimension", "value", "word", "place"), match)
+    named = F.struct("dimension", "value", "word")
+    best = hits.groupBy(*key).agg(
+        F.min(F.struct((-F.length("word")).alias("n"), F.col("place"), named.alias("v"))).alias("_b")
+    )
+    best = best.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], "_b.v.dimension", "_b.v.value")
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)]
+    return df.join(best, same, "left").select(*key, "dimension", "value")
+
+
+def mentions_by_join(
+    df: DataFrame, key: Sequence[str], text: str, lexicon: DataFrame, match: str = "substring"
+) -> DataFrame:
+    """X4 for a table (label, word): rows (*key, mentions), labels sorted; texts with one only."""
+    hits = word_hits_by_join(df, key, text, lexicon.select("label", "word"), match)
+    return hits.groupBy(*key).agg(F.sort_array(F.collect_set("label")).alias("mentions"))
+
+
+def filters_by_join(
+    df: DataFrame, key: Sequence[str], text: str, values: DataFrame, match: str = "substring"
+) -> DataFrame:
+    """X5 for a table (field, value, word): rows (*key, field, op, values), values sorted."""
+    hits = word_hits_by_join(df, key, text, values.select("field", "value", "word"), match)
+    found = hits.groupBy(*key, "field").agg(F.sort_array(F.collect_set("value")).alias("values"))
+    return found.select(*key, "field", F.when(F.size("values") > 1, "in").otherwise("eq").alias("op"), "values")
+
+
 def _search(
     df: DataFrame,
     text: str,

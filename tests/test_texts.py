@@ -285,3 +285,57 @@ def test_two_years_become_one_filter(spark):
     assert [[(f.op, f["values"]) for f in r.filters] for r in found] == [
         [("in", ["2020", "2021"])], [("eq", ["2021"])], [],
     ]
+
+
+TABLE_WORDS = [
+    ("a", "red"), ("a", "Red Ring"), ("a", "small red ring"), ("b", "c++"), ("b", "  "), ("b", ""), ("b", None),
+    ("c", "住院"), ("c", "住"), ("c", "é t"), ("d", "ing"), ("d", "red"), ("a", "red"), ("e", "x"), ("e", "ring  small"),
+    ("e", "zzzz"), ("f", "a" * 50), ("f", "!!"),
+]
+TABLE_TEXTS = [
+    "A small RED ring", "reddish ringing", "red, ring. Small", "c++ and C", "住院费用 red", "住 院", "café terrace", "",
+    None, "a" * 60, "small red  ring small red ring", "x!! y", "red-ring", "x",
+]
+
+
+@pytest.mark.parametrize("match", ["token", "substring"])
+def test_lexicon_tables_agree_with_compiled_words(spark, match):
+    """Phrases, other scripts and parts of words: the table gives what the compiled tests give."""
+    texts = [(i, t) for i, t in enumerate(TABLE_TEXTS)] + [(None, "red ring")]
+    df = spark.createDataFrame(texts, "k int, text string")
+    lexicon = spark.createDataFrame(TABLE_WORDS, "label string, word string")
+    spec = {}
+    for label, word in TABLE_WORDS:
+        alone = match == "token" and (word or "").isascii()
+        if word and (not alone or re.sub(L.NOT_WORD, " ", word.lower()).strip()) and word not in spec.setdefault(label, []):
+            spec[label].append(word)
+    spec = {k: v for k, v in spec.items() if v}
+    want = {
+        (r.k, r.label): (r.score, sorted(r.hits))
+        for r in X.lexicon_scores(df, ["k"], "text", spec, match).collect()
+    }
+    got = {(r.k, r.label): (r.score, r.hits) for r in X.lexicon_scores_by_join(df, ["k"], "text", lexicon, match).collect()}
+    assert got == want and len(got) > 10
+    plan = plan_of(X.word_hits_by_join(df, ["k"], "text", lexicon, match))
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "zzzz" not in plan.replace("LocalTableScan", "")
+    empty = lexicon.limit(0)
+    assert X.word_hits_by_join(df, ["k"], "text", empty, match).count() == 0
+    assert X.word_hits_by_join(df.limit(0), ["k"], "text", lexicon, match).count() == 0
+
+
+def test_best_synonym_and_mentions_of_a_table(spark):
+    values = {"d": {"v1": ["ring", "red"], "v2": ["small"]}, "e": {"w": ["住院", "住"], "u": ["RED"]}}
+    rows = [(d, v, w) for d, by in values.items() for v, ws in by.items() for w in ws]
+    table = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "dimension string, value string, word string, place int")
+    df = spark.createDataFrame(list(enumerate(TABLE_TEXTS)), "k int, text string")
+    want = {r.k: (r.dimension, r.value) for r in X.with_best_synonym(df, "text", values).collect()}
+    got = {r.k: (r.dimension, r.value) for r in X.best_synonym_by_join(df, ["k"], "text", table).collect()}
+    assert got == want
+    lexicon = table.selectExpr("value AS label", "word")
+    found = {r.k: r.mentions for r in X.mentions_by_join(df, ["k"], "text", lexicon).collect()}
+    flat = {v: ws for by in values.values() for v, ws in by.items()}
+    compiled = {r.k: sorted(r.m) for r in X.with_mentions(df, "text", m=flat).collect() if r.m}
+    assert found == compiled
+    filters = {(r.k, r.field): (r.op, r["values"]) for r in X.filters_by_join(df, ["k"], "text", table.withColumnRenamed("dimension", "field")).collect()}
+    plain = {(r.k, f.field): (f.op, sorted(f["values"])) for r in X.with_filters(df, "text", values).collect() for f in r.filters}
+    assert filters == plain
