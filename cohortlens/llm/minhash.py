@@ -14,7 +14,7 @@ follow each other; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -43,7 +43,7 @@ def _bin(h: Column) -> Column:
 
 def probes(n: int = 8) -> list[list[int]]:
     """For every bin the bins it tries when it is empty: independent and uniform."""
-    return [[zlib.crc32(b"%d:%d" % (j, k)) % BINS for j in range(BINS)] for k in range(n)]
+    return [[hashlib.sha256(b"%d:%d" % (j, k)).digest()[0] % BINS for j in range(BINS)] for k in range(n)]
 
 
 def with_signature(df: DataFrame, text: str, name: str) -> DataFrame:

@@ -20,7 +20,8 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -192,8 +193,32 @@ def boost(x: np.ndarray, y: np.ndarray) -> Forest:
     return Forest(np.array(features), np.array(limits), np.array(values), start, {})
 
 
-def overlap(span: Span, others: list[Span]) -> bool:
-    return any(span[1] < o[2] and o[1] < span[2] for o in others)
+class Covered:
+    """The union of spans as sorted, disjoint intervals: an overlap is one bisection."""
+
+    def __init__(self, spans: Iterable[Span] = ()) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for _, start, end in sorted(spans, key=lambda s: s[1]):
+            if self.ends and start <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def meets(self, span: Span) -> bool:
+        at = bisect_left(self.starts, span[2])
+        return at > 0 and self.ends[at - 1] > span[1]
+
+    def add(self, span: Span) -> None:
+        """A span that meets no other."""
+        at = bisect_left(self.starts, span[1])
+        self.starts.insert(at, span[1])
+        self.ends.insert(at, span[2])
+
+
+def by_kind(spans: list[Span]) -> dict[str, Covered]:
+    return {k: Covered(s for s in spans if s[0] == k) for k in KINDS}
 
 
 def _own_check(kind: str, own: str) -> bool:
@@ -247,15 +272,16 @@ def labelled(text: str) -> list[tuple[Span, int, int, list[float]]]:
     has no label. Form 0 is a base span, which needs no tree; the others are what trees may add.
     """
     base, failed = base_and_failed(text)
+    own_base, own_failed, any_base = by_kind(base), by_kind(failed), Covered(base)
     out = []
     for span in candidates(text) + [s for s in base if s[0] == "email"]:
         kind, own, hints = span[0], text[span[1] : span[2]], _hinted(text, span)
-        if overlap(span, [b for b in base if b[0] == kind]):
+        if own_base[kind].meets(span):
             out.append((span, 0, 1, describe(text, span)))
             continue
-        if not _own_check(kind, own) or overlap(span, base):
+        if not _own_check(kind, own) or any_base.meets(span):
             label = 0
-        elif kind != "card" and overlap(span, [f for f in failed if f[0] == kind]):
+        elif kind != "card" and own_failed[kind].meets(span):
             label = 0
         elif kind in hints:
             label = 1
@@ -327,20 +353,20 @@ def spans_of(text: str, forest: Forest | None) -> tuple[list[Span], list[Span]]:
     if forest is None:
         return base, []
     # What a base check has turned down for a kind is not that kind.
-    open_ = [
-        c for c in candidates(text)
-        if not overlap(c, base) and not overlap(c, [f for f in failed if f[0] == c[0] and c[0] != "card"])
-    ]
+    taken, turned_down = Covered(base), by_kind([f for f in failed if f[0] != "card"])
+    open_ = [c for c in candidates(text) if not taken.meets(c) and not turned_down[c[0]].meets(c)]
     if not open_:
         return base, []
     scores = forest.score(np.array([describe(text, c) for c in open_]))
     added: list[Span] = []
+    held = Covered()
     for i in np.argsort(-scores, kind="stable"):
         kind, start, end = open_[i]
         if not _own_check(kind, text[start:end]):
             continue
-        if scores[i] >= forest.thresholds[kind] and not overlap(open_[i], added):
+        if scores[i] >= forest.thresholds[kind] and not held.meets(open_[i]):
             added.append((kind, start, end))
+            held.add(open_[i])
     return base, added
 
 

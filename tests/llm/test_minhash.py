@@ -1,7 +1,9 @@
 import hashlib
 import random
+import struct
 
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 from cohortlens.llm import minhash as M
@@ -60,3 +62,66 @@ def test_edges(spark):
     fps = M.fingerprint_documents(twice).select(F.sha2("fingerprint", 256)).distinct().collect()
     assert len(fps) == 1 and M.compare_with_edits(twice).count() == 3
     assert hashlib.sha256(b"").hexdigest() != fps[0][0]
+
+
+def spark_hash(*values):
+    """Spark's xxhash64 of texts (str), longs (int) and ints (one-tuples)."""
+    h = 42
+    for v in values:
+        raw = v.encode() if isinstance(v, str) else struct.pack("<i", *v) if isinstance(v, tuple) else struct.pack("<q", v)
+        h = xxhash.xxh64_intdigest(raw, h)
+    return h - 2**64 if h >= 2**63 else h
+
+
+def brute_fingerprint(text):
+    words = [spark_hash(w) for w in text.lower().split()]
+    if not words:
+        return ""
+    hashes = [spark_hash(*words[i : i + 5]) for i in range(max(1, len(words) - 4))]
+    held = {}
+    for h in sorted(hashes, reverse=True):
+        held[(h >> 57) + 64] = h
+    probes, out = M.probes(), ""
+    for j in range(M.BINS):
+        tried = [j, *(own[j] for own in probes)]
+        found = next((held[b] for b in tried if b in held), None)
+        if found is None:
+            found = min((spark_hash((j,), b), y) for b, y in held.items())[1]
+        out += f"{spark_hash(found, (j,)) & 255:02x}"
+    return out
+
+
+def test_fingerprints_match_brute_force(spark):
+    rng = random.Random(7)
+    texts = ["", "one", "one two three four five", "A b  c\td e f g"]
+    texts += [" ".join(rng.choices("abcdefghij", k=rng.choice([6, 9, 14, 60, 400, 2000]))) for _ in range(25)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.fingerprint for r in M.fingerprint_documents(df).collect()}
+    assert got == {i: brute_fingerprint(t) for i, t in enumerate(texts)}
+
+
+def test_probes_are_independent():
+    probes = M.probes()
+    assert len(set(zip(*probes, strict=True))) == M.BINS
+    assert len({b for own in probes for b in own}) > 120
+    # The spread of the estimate over few shingles, against bins that choose at random anew.
+    rng, own = random.Random(5), random.Random(6)
+
+    def spread(sequences):
+        errors = []
+        for _ in range(400):
+            both = [rng.getrandbits(64) for _ in range(8)]
+            sides = [both + [rng.getrandbits(64) for _ in range(2)] for _ in range(2)]
+            bins = [{h >> 57: h for h in sorted(s, reverse=True)} for s in sides]
+            tried = sequences()
+            equal = 0
+            for j in range(M.BINS):
+                values = [next((b[x] for x in [j, *tried[j]] if x in b), None) for b in bins]
+                equal += values[0] == values[1]
+            errors.append(equal / M.BINS - 8 / 12)
+        return np.std(errors)
+
+    sequences = list(zip(*M.probes(40), strict=True))
+    fixed = spread(lambda: sequences)
+    free = spread(lambda: [[own.randrange(M.BINS) for _ in range(40)] for _ in range(M.BINS)])
+    assert fixed < 1.15 * free

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 from hypothesis import given, settings
@@ -94,3 +95,24 @@ def test_fit_does_not_depend_on_the_layout(spark):
     docs = spark.createDataFrame(rows, "key long, text string")
     one, other = (pii.fit(d, sample=300) for d in (docs.repartition(2), docs.orderBy("text", ascending=False).repartition(7)))
     assert np.array_equal(one.value, other.value) and one.thresholds == other.thresholds
+
+
+def test_long_texts_take_linear_time(spark):
+    """Five megabytes of personal data and look-alikes, base and trees together."""
+    rng = random.Random(3)
+    pieces = ["mail to ab.c@de.org now", "call +1 555 0100 200 or 555-0100-2000", "from 10.0.0.1 or 10.0.300.1", "card 4111 1111 1111 1111", "id 12345678901", "x [at] y [dot] org"]
+    text = " ".join(rng.choice(pieces) for _ in range(220_000))
+    assert len(text) > 5_000_000
+    forest = pii.Forest(np.zeros((1, 7), int), np.full((1, 7), np.inf), np.zeros((1, 8)), 2.0, dict.fromkeys(pii.KINDS, 0.5))
+    start = time.process_time()
+    base, added = pii.spans_of(text, forest)
+    assert time.process_time() - start < 60 and len(base) > 100_000 and len(added) > 50_000
+    short = text[:20_000]
+    plain = lambda s, others: any(s[1] < o[2] and o[1] < s[2] for o in others)
+    base, failed = pii.base_and_failed(short)
+    found = pii.candidates(short)
+    covered, kinds = pii.Covered(base), pii.by_kind(failed)
+    assert [covered.meets(c) for c in found] == [plain(c, base) for c in found]
+    assert [kinds[c[0]].meets(c) for c in found] == [plain(c, [f for f in failed if f[0] == c[0]]) for c in found]
+    added = pii.spans_of(short, forest)[1]
+    assert not any(plain(a, added[:i]) or plain(a, base) for i, a in enumerate(added))
