@@ -314,6 +314,41 @@ def csv_mixed_headers(spark, sf_dir):
     return T.read_raw_csv(spark, root, recursive=True, mixed_headers=True)
 
 
+@check(
+    "csv_quoted_breaks",
+    """SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey,
+       CASE WHEN o_orderstatus = 'F' AND o_orderkey % 7 = 0
+         THEN concat('one', chr(10), '"two", ', o_orderpriority) ELSE o_orderpriority END AS note FROM orders""",
+)
+def csv_quoted_breaks(spark, sf_dir):
+    """Notes with line breaks and quotes in some of the files."""
+    root = scratch_path(spark, "breaks")
+    note = F.when(
+        (F.col("o_orderstatus") == "F") & (F.col("o_orderkey") % 7 == 0),
+        F.concat(F.lit('one\n"two", '), "o_orderpriority"),
+    ).otherwise(F.col("o_orderpriority"))
+    orders = table(spark, sf_dir, "orders").withColumn("note", note)
+    for name, part in (("f", "o_orderstatus = 'F'"), ("rest", "o_orderstatus <> 'F'")):
+        T.write_table(orders.where(part).select("o_orderkey", "note"), f"{root}/{name}", "csv")
+    return T.read_raw_csv(spark, root, recursive=True, quoted_breaks=True)
+
+
+@check(
+    "csv_bad_records",
+    """SELECT COUNT(*) AS raw_records, COUNT(*) FILTER (o_orderkey % 10 IN (0, 1)) AS bad_records FROM orders""",
+)
+def csv_bad_records(spark, sf_dir):
+    """Records with a field too many or too few are counted, not lost."""
+    root = scratch_path(spark, "ragged")
+    key = F.col("o_orderkey")
+    line = F.when(key % 10 == 0, F.concat_ws(",", key, "o_orderpriority", F.lit("more"))).when(
+        key % 10 == 1, key.cast("string")
+    ).otherwise(F.concat_ws(",", key, "o_orderpriority"))
+    lines = table(spark, sf_dir, "orders").select(line.alias("o_orderkey,o_orderpriority"))
+    lines.write.option("header", True).option("sep", "|").csv(root)
+    return T.record_accounting(T.read_raw_csv(spark, root, bad_records="_bad"), "_bad")
+
+
 @check(
     "table_sink",
     f"{WITH_D} SELECT order_key, line, part_key, supp_key, age_group, birth_weight FROM d",

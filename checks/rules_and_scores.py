@@ -11,6 +11,7 @@ from cohortlens.operators import scoring as S
 from cohortlens.operators.filters import known
 from cohortlens.plans import reports
 from cohortlens.presets import discharge
+from cohortlens.presets import fixed_values as fv
 
 A, B = "ccsr_diagnosis_description", "ccsr_procedure_description"
 
@@ -53,7 +54,7 @@ def assoc_pairs(spark, sf_dir):
     + rules_sql(A, B, "d", 0.005, f"ORDER BY support DESC, lift DESC, {A}, {B} LIMIT 20"),
 )
 def assoc_rules(spark, sf_dir):
-    return R.association_rules(discharges(spark, sf_dir), A, B, rounded=False)
+    return R.association_rules(discharges(spark, sf_dir), A, B, rounded=False, fields=fv.RULE_FIELDS)
 
 
 @check(

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.operators.filters import known
 
+
 def pair_counts(df: DataFrame, a: str, b: str, unknown: str = "Unknown") -> DataFrame:
     """How often each pair of known values occurs."""
     base = known(df, a, b, unknown=unknown).select(a, b)
@@ -21,9 +24,12 @@ def association_rules(
     top_n: int | None = 20,
     unknown: str = "Unknown",
     rounded: bool = True,
+    fields: Collection[str] | None = None,
 ) -> DataFrame:
     """Rules A -> B with support, confidence and lift, strongest support first.
 
+    ``fields`` are the columns that rules may be asked for; others are refused.
+
     Everything derives from the pair counts, so the base table is scanned once. The support
     filter needs only the total and runs before the joins: at most 1/min_support pairs pass
     it. The counts per value are aggregates with
@@ -31,6 +37,9 @@ def association_rules(
     """
     if antecedent == consequent:
         raise ValueError("antecedent and consequent must differ")
+    refused = [c for c in (antecedent, consequent) if fields is not None and c not in fields]
+    if refused:
+        raise ValueError(f"no rules over {refused}; allowed: {sorted(fields)}")
     if not 0 < min_support <= 1:
         raise ValueError(f"min_support must be in (0, 1], got {min_support}")
     pairs = pair_counts(df, antecedent, consequent, unknown)

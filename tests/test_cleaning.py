@@ -280,3 +280,23 @@ def test_mixed_headers_are_matched_by_name(spark, tmp_path):
     read = T.read_raw_csv(spark, str(tmp_path), recursive=True, mixed_headers=True)
     rows = sorted((r["k"], r["v"], r["w"]) for r in read.collect())
     assert rows == [("1", "2", None), ("4", "3", None), ("5", "6,6", "7")]
+
+
+def test_quoted_breaks_and_bad_records(spark, tmp_path):
+    files = {
+        "a.csv": 'k,v\n1,"x\ny"\n2,"say ""no"""\n3,\n', "b.csv": "k,v\n4,plain\n5\n6,a,b\n", "sub c/d.csv": 'k,v\r\n7,"p, q"\r\n',
+    }
+    for name, text in files.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(text.encode())
+    read = T.read_raw_csv(spark, str(tmp_path), recursive=True, quoted_breaks=True, bad_records="bad")
+    got = sorted(tuple(r) for r in read.select("k", "v", F.trim("bad")).na.fill("-").collect())
+    assert got == [
+        ("1", "x\ny", "-"), ("2", 'say "no"', "-"), ("3", "-", "-"), ("4", "plain", "-"), ("5", "-", "5"),
+        ("6", "a", "6,a,b"), ("7", "p, q", "-"),
+    ]
+    assert T.record_accounting(read, "bad").first() == (7, 2)
+    one = T.read_raw_csv(spark, str(tmp_path / "b.csv"), quoted_breaks=True)
+    assert one.count() == 3 and one.columns == ["k", "v"]
+    with pytest.raises(ValueError):
+        T.read_raw_csv(spark, str(tmp_path / "b.csv"), bad_records="v")

@@ -9,6 +9,7 @@ from cohortlens.operators import rules as R
 from cohortlens.operators import scoring as S
 from cohortlens.plans import reports
 from cohortlens.presets import discharge
+from cohortlens.presets import fixed_values as fv
 
 DIAGNOSIS, PROCEDURE = "ccsr_diagnosis_description", "ccsr_procedure_description"
 
@@ -142,3 +143,10 @@ def test_scoring_is_a_projection(spark):
 def test_scores_over_whole_table(df, rows):
     scored = S.score_rows(df, discharge.RISK_RULES, discharge.RISK_BANDS)
     assert scored.agg(F.sum("risk_score")).first()[0] == sum(map(points, rows))
+
+
+def test_rules_only_over_allowed_fields(spark, df):
+    with pytest.raises(ValueError):
+        R.association_rules(df, "gender", "age_group", fields=fv.RULE_FIELDS)
+    rules = R.association_rules(df, "type_of_admission", "age_group", fields=fv.RULE_FIELDS)
+    assert rules.count() > 0
