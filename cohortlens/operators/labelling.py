@@ -91,7 +91,9 @@ def _gram_hits(texts: DataFrame, key: Sequence[str], entries: DataFrame) -> Data
     own = entries.withColumn("_chars", chars).withColumn("_gram", F.explode(grams)).drop("_chars")
     # An entry's grams are of one size: GRAM, or its own length.
     own = own.where(F.length("_gram") == F.least(F.lit(GRAM), F.length("_low")))
-    chars, grams = _grams("_text", range(1, GRAM + 1))
+    # At most GRAM rows; texts are cut into runs of these sizes only.
+    size = F.least(F.lit(GRAM), F.length("_low")).alias("n")
+    chars, grams = _grams("_text", sorted(r.n for r in entries.select(size).distinct().collect()) or [GRAM])
     seen = texts.withColumn("_chars", chars).withColumn("_gram", F.explode(grams)).select(*key, "_gram")
     needed = own.select("_gram").distinct()
     seen = seen.join(needed, "_gram", "left_semi")
