@@ -19,6 +19,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from checks import QUERIES  # noqa: E402
 from checks.views import raw_discharges  # noqa: E402
 from cohortlens.plans.clean_job import clean_and_report  # noqa: E402
+from cohortlens.plans.deliveries import stored_rows  # noqa: E402
 from cohortlens.presets import discharge  # noqa: E402
 from cohortlens.presets import fixed_values as fv  # noqa: E402
 from cohortlens.session import with_settings  # noqa: E402
@@ -79,7 +80,7 @@ def main() -> None:
             ).report
         )
     )
-    T.write_table(spark.read.parquet(clean), clean_csv, "csv")
+    T.write_table(stored_rows(spark, clean), clean_csv, "csv")
     times["first_load"] = timed(
         lambda: T.materialise(T.read_typed(spark, clean_csv, discharge.SCHEMA))
     )

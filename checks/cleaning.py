@@ -24,10 +24,12 @@ from cohortlens.functions import text as X
 from cohortlens.operators import cleaning as C
 from cohortlens.operators import quality as Q
 from cohortlens.plans.clean_job import clean_and_report
+from cohortlens.plans.deliveries import delivery_report, stored_copies
 from cohortlens.presets import discharge
 from cohortlens.presets import fixed_values as fv
 from cohortlens.sources import tables as T
 from cohortlens.sources.scratch import scratch_path
+from cohortlens.streaming.incremental import clean_deliveries
 
 SPEC = discharge.CLEANING
 
@@ -259,6 +261,32 @@ def clean_and_report_query(spark, sf_dir):
     return clean_and_report(spark, source, target, SPEC, fv.REPORT_FIELDS).report
 
 
+def three_deliveries(spark, sf_dir):
+    """A batch run, then two deliveries of files: new rows and rows that were there before."""
+    returned = raw_discharges(spark, sf_dir, where="l_returnflag = 'R'")
+    accepted = raw_discharges(spark, sf_dir, where="l_returnflag = 'A'")
+    rest = raw_discharges(spark, sf_dir, where="l_returnflag = 'N'")
+    first, later, target = (scratch_path(spark, name) for name in ("first", "later", "table"))
+    T.write_table(returned, first, "csv")
+    clean_and_report(spark, first, target, SPEC, fv.REPORT_FIELDS)
+    for step, delivery in enumerate((accepted.unionByName(returned), rest)):
+        T.write_table(delivery, f"{later}/{step}", "csv")
+        clean_deliveries(
+            spark, later, target, SPEC, fv.RAW_COLUMNS, fv.REPORT_FIELDS
+        ).awaitTermination()
+    return target
+
+
+@check("stream_dedup", f"{WITH_TWICE} SELECT * FROM g")
+def stream_dedup(spark, sf_dir):
+    return stored_copies(spark, three_deliveries(spark, sf_dir))
+
+
+@check("report_over_deliveries", f"{WITH_TWICE} {report_sql('g')}")
+def report_over_deliveries(spark, sf_dir):
+    return delivery_report(spark, three_deliveries(spark, sf_dir))
+
+
 ORDER_SCHEMA = StructType(
     [
         StructField("o_orderkey", LongType()),

@@ -96,20 +96,31 @@ VALUE_BUCKETS = 64
 GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
+def value_counts(df: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """How often each value of each field occurs, as (field, value, n_rows), in one scan."""
+    long = df.select(*[F.col(f).cast("string").alias(f) for f in fields]).unpivot(
+        [], list(fields), "field", "value"
+    )
+    return long.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def value_distribution(df: DataFrame, fields: Sequence[str], n: int = 10) -> DataFrame:
     """A5/Q2: the ``n`` most frequent values of each field, in one scan.
 
-    The rows are unpivoted to (field, value) and counted with map-side combine. The values of a
-    field never meet in one task: up to the optimizer's threshold the rank filter becomes a
-    group limit below the second shuffle; beyond it they are ranked in buckets by hash first, and
-    only the ``n`` best of each bucket go on. Both give the same rows.
+    The rows are unpivoted to (field, value), counted with map-side combine and ranked.
+    """
+    return top_values(value_counts(df, fields), n)
+
+
+def top_values(counts: DataFrame, n: int) -> DataFrame:
+    """The ``n`` most frequent values of each field from (field, value, n_rows).
+
+    The values of a field never meet in one task: up to the optimizer's threshold the rank filter
+    becomes a group limit below the second shuffle; beyond it they are ranked in buckets by hash
+    first, and only the ``n`` best of each bucket go on. Both give the same rows.
     """
-    long = df.select(*[F.col(f).cast("string").alias(f) for f in fields]).unpivot(
-        [], list(fields), "field", "value"
-    )
-    counts = long.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n_rows"))
     order = [F.desc("n_rows"), F.asc("value")]
-    if n > int(df.sparkSession.conf.get(GROUP_LIMIT)):
+    if n > int(counts.sparkSession.conf.get(GROUP_LIMIT)):
         bucket = F.pmod(F.xxhash64("value"), F.lit(VALUE_BUCKETS))
         inside = Window.partitionBy("field", bucket).orderBy(*order)
         counts = counts.withColumn("position", F.row_number().over(inside))
