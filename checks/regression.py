@@ -193,29 +193,115 @@ def two_feature_metrics(spark, sf_dir):
 
 
 FIT_ROWS = 100_000
+FEATURES = [*COST_MODEL.numeric, *(f"{c}_idx" for c in COST_MODEL.categorical)]
+SLOTS = range(len(FEATURES))
+
+
+def coded_sql(source: str) -> str:
+    """The rows of ``source`` with category numbers; values not seen in training share one more."""
+    numbers = ", ".join(
+        f"COALESCE({c}_map.i, (SELECT COUNT(*) FROM {c}_map)) AS {c}_idx"
+        for c in COST_MODEL.categorical
+    )
+    joins = " ".join(
+        f"LEFT JOIN {c}_map ON {c}_map.v = {source}.{c}" for c in COST_MODEL.categorical
+    )
+    return f"SELECT {source}.*, {numbers} FROM {source} {joins}"
+
+
+def ridge_sql(source: str) -> str:
+    """CTEs that end in ``solved``: slopes x_0, x_1, ... and ``intercept`` from one aggregate.
+
+    On standardised features and label the penalty is reg_param over the label's deviation; in
+    the features' own units it scales their variances. The system is solved by elimination.
+    """
+    y = COST_MODEL.label
+    cells = [
+        f"covar_pop({FEATURES[i]}, {FEATURES[j]})"
+        + (f" * (1 + {COST_MODEL.reg_param} / stddev_pop({y}))" if i == j else "")
+        + f" AS a_{i}_{j}"
+        for i in SLOTS for j in SLOTS
+    ]
+    cells += [f"covar_pop({FEATURES[i]}, {y}) AS b_{i}" for i in SLOTS]
+    cells += [f"AVG({FEATURES[i]}) AS mean_{i}" for i in SLOTS] + [f"AVG({y}) AS mean_y"]
+    steps = [f"g0 AS (SELECT {', '.join(cells)} FROM {source})"]
+    for k in SLOTS:
+        below = [i for i in SLOTS if i > k]
+        changed = [
+            f"a_{i}_{j} - a_{i}_{k} * a_{k}_{j} / a_{k}_{k} AS a_{i}_{j}" for i in below for j in below
+        ]
+        changed += [f"b_{i} - a_{i}_{k} * b_{k} / a_{k}_{k} AS b_{i}" for i in below]
+        replaced = f" REPLACE ({', '.join(changed)})" if changed else ""
+        steps.append(f"g{k + 1} AS (SELECT *{replaced} FROM g{k})")
+    last = f"g{len(FEATURES)}"
+    for k in reversed(SLOTS):
+        known = "".join(f" - a_{k}_{j} * x_{j}" for j in SLOTS if j > k)
+        steps.append(f"s{k} AS (SELECT *, (b_{k}{known}) / a_{k}_{k} AS x_{k} FROM {last})")
+        last = f"s{k}"
+    level = "".join(f" - x_{i} * mean_{i}" for i in SLOTS)
+    steps.append(f"solved AS (SELECT *, mean_y{level} AS intercept FROM {last})")
+    return ", ".join(steps)
+
+
+MAPS = ", ".join(
+    f"{c}_map AS (SELECT {c} AS v, row_number() OVER (ORDER BY COUNT(*) DESC, {c}) - 1 AS i "
+    f"FROM train GROUP BY {c})"
+    for c in COST_MODEL.categorical
+)
+WITH_COST = f"""{WITH_D}, u AS (SELECT * FROM d WHERE {USABLE}),
+    part AS (SELECT * FROM u WHERE {unit_sql('split-42')} < 0.8),
+    test AS (SELECT * FROM u WHERE {unit_sql('split-42')} >= 0.8),
+    train AS (SELECT * FROM part
+              WHERE {unit_sql('sample-42')} * (SELECT COUNT(*) FROM part) < {FIT_ROWS}),
+    {MAPS}, coded AS ({coded_sql('train')}), {ridge_sql('coded')}"""
+PREDICTED = "intercept" + "".join(f" + x_{i} * {f}" for i, f in enumerate(FEATURES))
 
 
 def cost_model(spark, sf_dir):
     """Fitted on about ``FIT_ROWS`` rows of the training part; the whole test part is left."""
     usable = M.training_frame(discharges(spark, sf_dir), COST_MODEL)
-    train, test = M.split(usable, KEY)
-    return M.fit(M.training_frame(train, COST_MODEL, FIT_ROWS, KEY), COST_MODEL), test
+    train, test = M.split(usable, KEY, method="md5")
+    sample = M.training_frame(train, COST_MODEL, FIT_ROWS, KEY, method="md5")
+    return M.fit(sample, COST_MODEL), test
 
 
-# Ridge over six features has no plain SQL form; tests check it against a closed solution.
-@check("cost_model_summary")
+@check(
+    "cost_model_summary",
+    f"""{WITH_COST} SELECT '(intercept)' AS feature, ROUND(intercept, 2) AS coefficient FROM solved """
+    + " ".join(
+        f"UNION ALL SELECT '{f}', ROUND(x_{i}, 4) FROM solved WHERE ABS(x_{i}) > 1e-6"
+        for i, f in enumerate(FEATURES)
+    ),
+)
 def cost_model_summary(spark, sf_dir):
     model, _ = cost_model(spark, sf_dir)
     return M.model_summary(model, COST_MODEL)
 
 
-@check("cost_model_metrics")
+@check(
+    "cost_model_metrics",
+    f"""{WITH_COST}, seen AS ({coded_sql('test')}),
+        e AS (SELECT {COST_MODEL.label} AS y, {COST_MODEL.label} - ({PREDICTED}) AS e FROM seen, solved)
+        SELECT COUNT(*) AS n_rows, ROUND(SQRT(AVG(e * e)), 2) AS rmse,
+        ROUND(AVG(ABS(e)), 2) AS mae,
+        ROUND(1 - SUM(e * e) / (VAR_POP(y) * COUNT(*)), 4) AS r2 FROM e""",
+)
 def cost_model_metrics(spark, sf_dir):
     model, test = cost_model(spark, sf_dir)
     return M.evaluate(model.transform(test), COST_MODEL.label)
 
 
-@check("cost_predictions")
+FILLED = ", ".join(
+    [f"COALESCE({c}, {COST_MODEL.missing_number}) AS {c}" for c in COST_MODEL.numeric]
+    + [f"COALESCE({c}, '{COST_MODEL.unknown}') AS {c}" for c in COST_MODEL.categorical]
+)
+
+
+@check(
+    "cost_predictions",
+    f"""{WITH_COST}, filled AS (SELECT {KEY_SQL}, {FILLED} FROM d), every AS ({coded_sql('filled')})
+        SELECT {KEY_SQL}, ROUND({PREDICTED}, 2) AS prediction FROM every, solved""",
+)
 def cost_predictions(spark, sf_dir):
     model, _ = cost_model(spark, sf_dir)
     scored = M.predict(model, discharges(spark, sf_dir), COST_MODEL)
