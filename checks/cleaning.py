@@ -8,6 +8,7 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 from checks.aggregation import distribution_sql
 from checks.registry import check
 from checks.views import (
+    DISCHARGES,
     KEY,
     RAW_DISCHARGES,
     RAW_SQL,
@@ -32,6 +33,7 @@ from cohortlens.sources.scratch import scratch_path
 from cohortlens.streaming.incremental import clean_deliveries
 
 SPEC = discharge.CLEANING
+WIDE = tuple(DISCHARGES)
 
 # The white space class and the placeholders in the checking engine's spelling.
 _WS = (
@@ -178,6 +180,13 @@ def dedup_exact(spark, sf_dir):
     )
 
 
+@check("dedup_wide", f"{WITH_D} SELECT {', '.join([*KEY, *WIDE])} FROM d")
+def dedup_wide(spark, sf_dir):
+    """Rows of 37 columns; the first two lines of every order come twice."""
+    rows = discharges(spark, sf_dir).select(*KEY, *WIDE)
+    return Q.drop_copies_of_wide_rows(rows.unionByName(rows.filter("line <= 2")))
+
+
 @check("dedup_documents", "SELECT text, COUNT(*) AS n_copies FROM documents GROUP BY text")
 def dedup_documents(spark, sf_dir):
     return Q.count_copies(table(spark, sf_dir, "documents").select("text"))

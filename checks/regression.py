@@ -76,6 +76,41 @@ def category_index_distinct(spark, sf_dir):
     return M.category_index(table(spark, sf_dir, "customer"), "c_name")
 
 
+CUSTOMERS = M.RegressionSpec("c_acctbal", (), ("c_name",), reg_param=0.0)
+_NUMBERED = """WITH k AS (SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal > 0),
+    n AS (SELECT c_name, row_number() OVER (ORDER BY COUNT(*) DESC, c_name) - 1 AS i
+        FROM k GROUP BY c_name),
+    m AS (SELECT regr_slope(c_acctbal, i) AS a, regr_intercept(c_acctbal, i) AS b
+        FROM k JOIN n USING (c_name))"""
+
+
+def customer_fit(spark, sf_dir):
+    """A category whose values are all different."""
+    rows = M.training_frame(table(spark, sf_dir, "customer"), CUSTOMERS)
+    return M.fit_by_table(rows, CUSTOMERS)
+
+
+@check(
+    "distinct_category_line",
+    f"""{_NUMBERED} SELECT '(intercept)' AS feature, ROUND(b, 2) AS coefficient FROM m
+        UNION ALL SELECT 'c_name_idx', ROUND(a, 4) FROM m""",
+)
+def distinct_category_line(spark, sf_dir):
+    return M.model_summary(customer_fit(spark, sf_dir), CUSTOMERS, smallest=-1)
+
+
+@check(
+    "distinct_category_predictions",
+    f"""{_NUMBERED} SELECT c_custkey, ROUND(a * COALESCE(i, (SELECT COUNT(*) FROM n)) + b, 2)
+        AS prediction FROM customer LEFT JOIN n USING (c_name), m""",
+)
+def distinct_category_predictions(spark, sf_dir):
+    """Customers without a positive balance have names that training has not seen."""
+    customers = table(spark, sf_dir, "customer")
+    scored = M.predict(customer_fit(spark, sf_dir), customers, CUSTOMERS)
+    return scored.select("c_custkey", F.round("prediction", 2).alias("prediction"))
+
+
 # A line with known ends: the target follows the quantity, the discount is the noise.
 LINE = M.RegressionSpec("target", ("quantity",), reg_param=0.0)
 LINE_COLUMNS = {

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.registry import check
-from checks.views import KEY, WITH_D, discharges, sales, sales_sql
+from checks.views import KEY, WITH_D, discharges, sales, sales_sql, table
 from cohortlens.operators import rules as R
 from cohortlens.operators import scoring as S
 from cohortlens.operators.filters import known
@@ -73,6 +73,25 @@ def assoc_rules_all(spark, sf_dir):
     )
 
 
+_BUYER = (
+    "CASE WHEN o_custkey % 2 = 0 THEN concat('group ', CAST(o_custkey % 7 AS STRING)) "
+    "ELSE concat('customer ', CAST(o_custkey AS STRING)) END"
+)
+
+
+@check(
+    "assoc_rules_pruned",
+    f"WITH s AS (SELECT {_BUYER} AS buyer, o_orderpriority FROM orders), "
+    + rules_sql("buyer", "o_orderpriority", "s", 1e-3),
+)
+def assoc_rules_pruned(spark, sf_dir):
+    """Half of the rows have a buyer too rare for a rule."""
+    orders = table(spark, sf_dir, "orders").select(F.expr(_BUYER).alias("buyer"), "o_orderpriority")
+    return R.association_rules(
+        orders, "buyer", "o_orderpriority", 1e-3, top_n=None, rounded=False, prune=True
+    )
+
+
 POINTS = {
     "advanced age": ("age_group", "CASE age_group WHEN '70 or Older' THEN 25 "
                      "WHEN '50 to 69' THEN 10 ELSE 0 END"),

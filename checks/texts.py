@@ -467,3 +467,20 @@ def grounding(spark, sf_dir):
         "o_orderkey", "passed", F.size("text_numbers").alias("n_numbers"),
         F.size("unmatched").alias("n_unmatched"),
     )
+
+
+@check(
+    "grounding_long_source",
+    f"""WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS src
+            FROM embeddings WHERE len(embedding) > 0),
+        n AS (SELECT vec_id, src, list_transform(src, lambda x: x * 1.03e0 + 0.001e0) AS ns FROM s)
+        SELECT vec_id, CAST(len(list_filter(ns, lambda x: len(list_filter(src,
+            lambda y: {match_sql('x', 'y')})) = 0)) AS INTEGER) AS n_unmatched FROM n""",
+)
+def grounding_long_source(spark, sf_dir):
+    """Sources long enough for the search by bisection: the components of a vector."""
+    rows = table(spark, sf_dir, "embeddings").filter(F.size("embedding") > 0)
+    rows = rows.select("vec_id", F.col("embedding").cast("array<double>").alias("src"))
+    rows = rows.select("*", F.transform("src", lambda x: x * 1.03 + 0.001).alias("ns"))
+    left = G.unmatched_numbers(F.col("ns"), F.col("src"))
+    return rows.select("vec_id", F.size(left).alias("n_unmatched"))

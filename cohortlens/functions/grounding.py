@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortlens.functions.labels import let
 from cohortlens.functions.text import WHITESPACE
 from cohortlens.presets import fixed_values as fv
 
@@ -19,6 +20,11 @@ NUMBER = (
 )
 
 
+NEAR_ZERO = 1e-9
+SLACK = 1e-12  # widens an interval by more than the rounding of its ends
+FEW = 32  # so many source numbers are tried one after the other
+
+
 def numbers_in_text(text: Column) -> Column:
     """The numbers as doubles in text order, units applied; years and codes left out."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(NUMBER), 0)
@@ -80,14 +86,66 @@ def _leaves(value: Column, data_type: T.DataType) -> Column | None:
 def numbers_match(a: Column, b: Column, tolerance: float = 0.02) -> Column:
     """Equal; or one is about 0 and they differ by less than 0.5; or close enough."""
     size_a, size_b, gap = F.abs(a), F.abs(b), F.abs(a - b)
-    near_zero = F.least(size_a, size_b) < 1e-9
+    near_zero = F.least(size_a, size_b) < NEAR_ZERO
     return (a == b) | F.when(near_zero, gap < 0.5).otherwise(
         gap / F.greatest(size_a, size_b) <= tolerance
     )
 
 
-def unmatched_numbers(numbers: Column, source: Column, tolerance: float = 0.02) -> Column:
-    """The numbers of the text that have no counterpart in the source."""
-    return F.filter(
-        numbers, lambda n: ~F.exists(source, lambda s: numbers_match(n, s, tolerance))
+def _rank(ordered: Column, value: Column, with_equal: bool) -> Column:
+    """How many numbers of a sorted array lie below ``value`` (or equal it), by bisection."""
+    steps = F.transform(
+        F.sequence(F.ceil(F.log2(F.size(ordered) + 1)).cast("int"), F.lit(0), F.lit(-1)),
+        lambda k: F.call_function("shiftleft", F.lit(1), k),
     )
+
+    def step(at: Column, width: Column) -> Column:
+        last = F.get(ordered, at + width - 1)
+        below = last <= value if with_equal else last < value
+        return F.when(F.coalesce(below, F.lit(False)), at + width).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), step)
+
+
+def _match_between(ordered: Column, low: Column, high: Column, n: Column, tolerance: float) -> Column:
+    """Whether one of the numbers from ``low`` to ``high`` matches ``n``."""
+    ends = {"a": _rank(ordered, low, False), "b": _rank(ordered, high, True)}
+    return let(
+        ends,
+        lambda e: F.exists(
+            F.slice(ordered, e["a"] + 1, F.greatest(e["b"] - e["a"], F.lit(0))),
+            lambda s: numbers_match(n, s, tolerance),
+        ),
+    )
+
+
+def unmatched_numbers(numbers: Column, source: Column, tolerance: float = 0.02) -> Column:
+    """The numbers of the text that have no counterpart in the source.
+
+    The source is sorted once per row. Only numbers around ``n`` and around 0 can match ``n``, so
+    two bisections find the few that are compared; a short source is gone through instead, with
+    the same result. Nulls on either side say nothing; a null source leaves no number open.
+    """
+    if not 0 <= tolerance < 1:
+        raise ValueError(f"tolerance must be in [0, 1), got {tolerance}")
+
+    def found(ordered: Column, n: Column) -> Column:
+        size = F.abs(n)
+        near, far = size * (1 - tolerance) * (1 - SLACK), size / (1 - tolerance) * (1 + SLACK)
+        about_zero = size < NEAR_ZERO
+        low = F.when(about_zero, n - 0.6).when(n < 0, -far).otherwise(near)
+        high = F.when(about_zero, n + 0.6).when(n < 0, -near).otherwise(far)
+        zero = F.lit(NEAR_ZERO)
+        return _match_between(ordered, low, high, n, tolerance) | (
+            (size < 0.6) & _match_between(ordered, -zero, zero, n, tolerance)
+        )
+
+    def open_numbers(x: Column) -> Column:
+        ordered = x["ordered"]
+        one_by_one = F.filter(
+            numbers, lambda n: ~F.exists(ordered, lambda s: numbers_match(n, s, tolerance))
+        )
+        searched = F.filter(numbers, lambda n: n.isNotNull() & ~found(ordered, n))
+        return F.when(F.size(ordered) > FEW, searched).otherwise(one_by_one)
+
+    return let({"ordered": F.sort_array(F.array_distinct(F.array_compact(source)))}, open_numbers)

@@ -13,8 +13,6 @@ def ground(df: DataFrame, text: str, source: str, tolerance: float = 0.02) -> Da
 
     ``source`` names a struct, list, map or number column that the text reports on.
     """
-    if not 0 <= tolerance < 1:
-        raise ValueError(f"tolerance must be in [0, 1), got {tolerance}")
     read = df.withColumns(
         {
             "source_numbers": source_numbers(F.col(source), df.schema[source].dataType),

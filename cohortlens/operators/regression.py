@@ -9,7 +9,7 @@ from operator import and_
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -142,6 +142,63 @@ def fit(train: DataFrame, spec: RegressionSpec) -> PipelineModel:
         kept.unpersist()
 
 
+@dataclass(frozen=True)
+class TableModel:
+    """A fitted line with its category numbers as stored tables, not as lists on the driver."""
+
+    spec: RegressionSpec
+    line: LinearRegressionModel
+    numbers: dict[str, DataFrame]
+    sizes: dict[str, int]
+
+    @property
+    def stages(self) -> list[LinearRegressionModel]:
+        return [self.line]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.line.transform(_with_numbers(df, self.spec, self.numbers, self.sizes))
+
+
+def _with_numbers(
+    df: DataFrame, spec: RegressionSpec, numbers: dict[str, DataFrame], sizes: dict[str, int]
+) -> DataFrame:
+    """Category numbers by a join per column; nulls and unseen values share the next number."""
+    for c in spec.categorical:
+        values = numbers[c].select(F.col(c).alias("_value"), F.col("category_index").alias("_number"))
+        found = F.coalesce(F.col("_number"), F.lit(sizes[c])).cast("double")
+        df = df.join(values, F.col(c).cast("string") == F.col("_value"), "left")
+        df = df.withColumn(f"{c}_idx", found).drop("_value", "_number")
+    inputs = [*spec.numeric, *[f"{c}_idx" for c in spec.categorical]]
+    return VectorAssembler(inputCols=inputs, outputCol="features").transform(df)
+
+
+def fit_by_table(train: DataFrame, spec: RegressionSpec) -> TableModel:
+    """M3-M5 for categories of any number of values: the line that ``fit`` gives.
+
+    Each category's numbers (``category_index``) are a stored table that is joined in here and
+    when predicting, so no list of labels reaches the driver or a task. Spark picks the join by
+    the table's size. One-hot columns need a coefficient per value: use ``fit`` for them.
+    """
+    if spec.encoding != "index":
+        raise ValueError("fit_by_table numbers categories; one-hot columns need fit")
+    numbers, sizes = {}, {}
+    for c in spec.categorical:
+        path = scratch_path(train.sparkSession, "category-numbers")
+        made = category_index(train, c)
+        made.write.parquet(path)
+        numbers[c] = train.sparkSession.read.schema(made.schema).parquet(path)
+        sizes[c] = numbers[c].count()
+    rows = train.select(*spec.numeric, *spec.categorical, spec.label)
+    kept = _with_numbers(rows, spec, numbers, sizes).select("features", spec.label).persist()
+    try:
+        solver = LinearRegression(
+            labelCol=spec.label, maxIter=spec.max_iter, regParam=spec.reg_param
+        )
+        return TableModel(spec, solver.fit(kept), numbers, sizes)
+    finally:
+        kept.unpersist()
+
+
 def evaluate(predictions: DataFrame, label: str, rounded: bool = True) -> DataFrame:
     """M6: RMSE, MAE and R2 in one row from one pass."""
     error = F.col(label) - F.col("prediction")
@@ -159,7 +216,7 @@ def evaluate(predictions: DataFrame, label: str, rounded: bool = True) -> DataFr
 
 
 def model_summary(
-    model: PipelineModel, spec: RegressionSpec, smallest: float = 1e-6, rounded: bool = True
+    model: PipelineModel | TableModel, spec: RegressionSpec, smallest: float = 1e-6, rounded: bool = True
 ) -> DataFrame:
     """M7: intercept and non-negligible coefficients as rows (feature, coefficient)."""
     line = model.stages[-1]
@@ -173,7 +230,7 @@ def model_summary(
     return table.withColumn("coefficient", digits.otherwise(F.round("coefficient", 4)))
 
 
-def feature_names(model: PipelineModel, spec: RegressionSpec) -> list[str]:
+def feature_names(model: PipelineModel | TableModel, spec: RegressionSpec) -> list[str]:
     """The names of the coefficients, one per vector slot."""
     if spec.encoding == "index" or not spec.categorical:
         return [*spec.numeric, *[f"{c}_idx" for c in spec.categorical]]
@@ -193,7 +250,7 @@ def fill_features(df: DataFrame, spec: RegressionSpec) -> DataFrame:
     return df.withColumns(numbers | texts)
 
 
-def predict(model: PipelineModel, df: DataFrame, spec: RegressionSpec) -> DataFrame:
+def predict(model: PipelineModel | TableModel, df: DataFrame, spec: RegressionSpec) -> DataFrame:
     """M8: the table with a ``prediction`` column, rows with missing features included."""
     scored = model.transform(fill_features(df, spec))
     return scored.select(*df.columns, "prediction")

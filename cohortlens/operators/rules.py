@@ -4,18 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Collection
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.operators.filters import known
 
 
+MAX_FREQUENT = 100_000  # values of a column that pruning may broadcast
+
+
 def pair_counts(df: DataFrame, a: str, b: str, unknown: str = "Unknown") -> DataFrame:
     """How often each pair of known values occurs."""
     base = known(df, a, b, unknown=unknown).select(a, b)
     return base.groupBy(a, b).agg(F.count(F.lit(1)).alias("n_ab"))
 
 
+def frequent_values(
+    base: DataFrame, column: str, count: str, total: Column, min_support: float
+) -> DataFrame:
+    """The values of ``column`` that fill at least ``min_support`` of ``total`` rows, counted."""
+    counts = base.groupBy(column).agg(F.count(F.lit(1)).alias(count))
+    return counts.filter(F.col(count) / total >= min_support)
+
+
 def association_rules(
     df: DataFrame,
     antecedent: str,
@@ -25,6 +36,7 @@ def association_rules(
     unknown: str = "Unknown",
     rounded: bool = True,
     fields: Collection[str] | None = None,
+    prune: bool = False,
 ) -> DataFrame:
     """Rules A -> B with support, confidence and lift, strongest support first.
 
@@ -34,6 +46,11 @@ def association_rules(
     filter needs only the total and runs before the joins: at most 1/min_support pairs pass
     it. The counts per value are aggregates with
     map-side combine, so a value that fills a third of the rows is no burden to one task.
+
+    ``prune`` is for columns of very many values: the values are counted first, two more scans of
+    a column each, and only rows whose two values both reach the support enter the pair count.
+    The rules are the same. The values that reach it are at most 1/min_support a column, so they
+    are broadcast up to ``MAX_FREQUENT``; a lower support is not pruned.
     """
     if antecedent == consequent:
         raise ValueError("antecedent and consequent must differ")
@@ -42,10 +59,19 @@ def association_rules(
         raise ValueError(f"no rules over {refused}; allowed: {sorted(fields)}")
     if not 0 < min_support <= 1:
         raise ValueError(f"min_support must be in (0, 1], got {min_support}")
-    pairs = pair_counts(df, antecedent, consequent, unknown)
-    n_a = pairs.groupBy(antecedent).agg(F.sum("n_ab").alias("n_a"))
-    n_b = pairs.groupBy(consequent).agg(F.sum("n_ab").alias("n_b"))
-    total = pairs.agg(F.sum("n_ab").alias("n")).scalar()
+    if prune and min_support * MAX_FREQUENT >= 1:
+        base = known(df, antecedent, consequent, unknown=unknown).select(antecedent, consequent)
+        total = base.agg(F.count(F.lit(1)).alias("n")).scalar()
+        n_a = frequent_values(base, antecedent, "n_a", total, min_support)
+        n_b = frequent_values(base, consequent, "n_b", total, min_support)
+        both = base.join(F.broadcast(n_a.select(antecedent)), antecedent, "left_semi")
+        both = both.join(F.broadcast(n_b.select(consequent)), consequent, "left_semi")
+        pairs = pair_counts(both, antecedent, consequent, unknown)
+    else:
+        pairs = pair_counts(df, antecedent, consequent, unknown)
+        n_a = pairs.groupBy(antecedent).agg(F.sum("n_ab").alias("n_a"))
+        n_b = pairs.groupBy(consequent).agg(F.sum("n_ab").alias("n_b"))
+        total = pairs.agg(F.sum("n_ab").alias("n")).scalar()
 
     frequent = pairs.withColumn("n", total).withColumn("support", F.col("n_ab") / F.col("n"))
     frequent = frequent.filter(F.col("support") >= min_support)

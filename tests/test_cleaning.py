@@ -300,3 +300,22 @@ def test_quoted_breaks_and_bad_records(spark, tmp_path):
     assert one.count() == 3 and one.columns == ["k", "v"]
     with pytest.raises(ValueError):
         T.read_raw_csv(spark, str(tmp_path / "b.csv"), bad_records="v")
+
+
+@pytest.mark.parametrize("max_hashes", [0, 1_000_000])
+def test_wide_rows_lose_their_copies(spark, max_hashes):
+    rows = [(i % 40, None if i % 3 else "a", float("nan") if i % 5 else -0.0) for i in range(200)]
+    rows += [(1000 + i, "x", 1.0) for i in range(50)] + [(7, "hot", 0.0)] * 300 + [(7, "hot", -0.0)]
+    df = spark.createDataFrame(rows, "`a.b` int, s string, x double").repartition(5)
+    got = Q.drop_copies_of_wide_rows(df, max_hashes)
+    assert got.columns == df.columns
+    key = lambda r: (r[0], r[1] or "", str(abs(r[2])))
+    assert sorted(map(key, got.collect())) == sorted(map(key, df.dropDuplicates().collect()))
+    assert Q.drop_copies_of_wide_rows(df.limit(0), max_hashes).collect() == []
+
+
+def test_rows_that_share_a_hash_both_stay(spark):
+    """The row hash skips nulls: these rows have one hash and differ."""
+    df = spark.createDataFrame([("a", None), (None, "a"), ("a", None)], "s string, t string")
+    assert df.select(F.xxhash64("s", "t")).distinct().count() == 1
+    assert sorted(map(str, Q.drop_copies_of_wide_rows(df).collect())) == ["Row(s='a', t=None)", "Row(s=None, t='a')"]

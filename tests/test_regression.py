@@ -120,3 +120,28 @@ def test_the_cap_leaves_the_test_part_whole(df):
     scored = M.evaluate(model.transform(test), COST_MODEL.label).first()
     assert scored.n_rows == test.count() > few.count() / 2
     assert not few.is_cached
+
+
+def test_fit_by_table_gives_the_line_of_fit(df, parts, model):
+    train, test = parts
+    mine = M.fit_by_table(train, COST_MODEL)
+    a = {r.feature: r.coefficient for r in M.model_summary(mine, COST_MODEL, 0, False).collect()}
+    b = {r.feature: r.coefficient for r in M.model_summary(model, COST_MODEL, 0, False).collect()}
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], rel=1e-6, abs=1e-6) for k in a)
+    key = KEY[0]
+    odd = test.withColumn("age_group", F.when(F.crc32(key) % 3 == 0, None).when(F.crc32(key) % 3 == 1, "new").otherwise(F.col("age_group")))
+    mine, theirs = ({r[key]: r.prediction for r in M.predict(m, odd, COST_MODEL).collect()} for m in (mine, model))
+    assert len(mine) == odd.count() and mine.keys() == theirs.keys()
+    assert all(mine[k] == pytest.approx(theirs[k], rel=1e-6) for k in mine)
+
+
+def test_fit_by_table_with_all_values_different(spark):
+    spec = M.RegressionSpec("y", ("x",), ("c",), reg_param=0.0)
+    rows = [(3.0 * i + 2 * (i % 7) + 1, i % 7, f"v{i:05d}") for i in range(3000)]
+    model = M.fit_by_table(spark.createDataFrame(rows, "y double, x int, c string").repartition(4), spec)
+    got = {r.feature: r.coefficient for r in M.model_summary(model, spec).collect()}
+    assert got == pytest.approx({"(intercept)": 1.0, "x": 2.0, "c_idx": 3.0}, abs=1e-3)
+    new = spark.createDataFrame([(0.0, 1, "unseen"), (0.0, 1, None), (0.0, 0, "v00002")], "y double, x int, c string")
+    assert sorted(round(r.prediction, 2) for r in M.predict(model, new, spec).collect()) == [7.0, 9003.0, 9003.0]
+    with pytest.raises(ValueError):
+        M.fit_by_table(new, M.RegressionSpec("y", ("x",), ("c",), "onehot"))

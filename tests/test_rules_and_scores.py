@@ -1,3 +1,4 @@
+import re
 from collections import Counter
 
 import pytest
@@ -48,6 +49,23 @@ def test_rules_agree_with_brute_force(spark, min_support):
         assert got[k] == pytest.approx(v)
 
 
+@pytest.mark.parametrize("min_support", [1e-6, 0.01, 0.05])
+def test_pruning_keeps_the_rules(spark, min_support):
+    pairs = [("hot", "x")] * 400 + [(f"rare{i}", f"y{i % 40}") for i in range(300)]
+    pairs += [(f"a{i % 10}", f"y{i % 5}") for i in range(200)] + [("Unknown", "x"), (None, "x")] * 9
+    df = spark.createDataFrame(pairs, "a string, b string").repartition(6)
+
+    def rules(prune):
+        return sorted(map(tuple, R.association_rules(df, "a", "b", min_support, None, rounded=False, prune=prune).collect()))
+
+    assert rules(True) == rules(False) != []
+    few = R.association_rules(df, "a", "b", 0.05, None, prune=True)
+    few.collect()
+    counted = [m for m in re.findall(r"BroadcastHashJoin.*LeftSemi", plan_of(few))]
+    assert counted and "NestedLoop" not in plan_of(few)
+    assert R.association_rules(df.limit(0), "a", "b", 0.05, None, prune=True).collect() == []
+
+
 def test_top_rules_are_ordered_with_ties_by_name(spark):
     df = spark.createDataFrame([(a, b) for a in "cab" for b in "zxy"] * 2, "a string, b string")
     out = R.association_rules(df, "a", "b", top_n=4).collect()

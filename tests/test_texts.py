@@ -1,3 +1,5 @@
+import math
+import random
 import re
 
 import pytest
@@ -274,6 +276,47 @@ def test_grounding(spark):
         ground(df, "text", "source", tolerance=1.5)
 
 
+def test_long_sources_are_searched_with_the_same_result(spark):
+    """Bisection against every pair, at the ends of the tolerance and around zero."""
+
+    def match(a, b, tolerance):
+        if math.isnan(a) or math.isnan(b):
+            return math.isnan(a) and math.isnan(b)
+        if a == b:
+            return True
+        if min(abs(a), abs(b)) < 1e-9:
+            return abs(a - b) < 0.5
+        return not math.isinf(max(abs(a), abs(b))) and abs(a - b) / max(abs(a), abs(b)) <= tolerance
+
+    rng = random.Random(5)
+    ends = [100.0, 98.0, 102.0, 100 / 0.98, 100 * 0.98, 1e-10, -1e-10, 0.0, -0.0, 0.3, 0.49, 0.5, -0.5, 1e300]
+    ends += [float("inf"), float("-inf"), 1e-9, -100.0, -98.0, 5e-324]
+    rows = []
+    for i in range(60):
+        source = [rng.uniform(-3, 3) * 10 ** rng.randint(-2, 4) for _ in range(rng.choice([0, 5, 40, 300]))]
+        numbers = [s * rng.choice([0.98, 1.02, 1 / 0.98, 0.9799, 1.05]) for s in source[:20]] + ends
+        source += rng.sample(ends, rng.randint(0, 6)) + source[:3]
+        rows.append((i, numbers, source))
+    rows.append((60, ends, [1000.0 + k for k in range(100)] + [float("nan")]))
+    rows.append((61, [float("nan"), 1.0], [1000.0 + k for k in range(100)] + [float("nan")]))
+    df = spark.createDataFrame(rows, "i int, ns array<double>, src array<double>")
+    for tolerance in (0.0, 0.02, 0.3):
+        out = df.select("i", G.unmatched_numbers(F.col("ns"), F.col("src"), tolerance).alias("left"))
+        got = {r.i: r.left for r in out.collect()}
+        for i, numbers, source in rows:
+            want = [n for n in numbers if not any(match(n, s, tolerance) for s in source)]
+            assert str(got[i]) == str(want), i
+
+
+def test_nulls_among_numbers_and_sources(spark):
+    long = [float(k) for k in range(1, 60)]
+    rows = [(0, [None, 500.0, 5.0], [None, *long]), (1, [None, 500.0], [None, 1.0]), (2, [1.0], None), (3, None, long)]
+    df = spark.createDataFrame(rows, "i int, ns array<double>, src array<double>")
+    out = df.select("i", G.unmatched_numbers(F.col("ns"), F.col("src")).alias("left"))
+    got = {r.i: r.left for r in out.collect()}
+    assert got[0] == [500.0] and got[1] == [500.0] and not got[2] and got[3] is None
+
+
 def test_label_accuracy_of_nothing(spark):
     df = spark.createDataFrame([], "a string, b string")
     assert tuple(X.label_accuracy(df, "a", "b").first()) == (0, 0, 0.0)
