@@ -234,7 +234,6 @@ def nearest(
         group_of[leaf] = len(parts) - 1
         parts[-1] = max(1, -(-size // GROUP_ROWS))
     queries = rows.where(is_query).groupBy("vec_id").agg(F.min("vec").alias("vec"), F.count("*").alias("own"))
-    blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,10 +263,19 @@ def nearest(
                 ["query_id", "vec", "group", "part", "leaves"],
             )
 
-    asked = queries.mapInArrow(
-        probe, "query_id long, vec array<double>, group long, part long, leaves array<long>"
+    asked = stored(
+        queries.mapInArrow(
+            probe, "query_id long, vec array<double>, group long, part long, leaves array<long>"
+        ),
+        "asked",
     )
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    # A group is sent once for every BLOCK_QUERIES queries that visit it, and not at all if none does.
+    visited = asked.where("part = 0").groupBy("group").count().collect()  # at most MAX_LEAVES rows
+    blocks = [0] * len(parts)
+    for r in visited:
+        blocks[r["group"]] = -(-r["count"] // BLOCK_QUERIES)
+    block_counts = F.get(F.array(*map(F.lit, blocks)), F.col("group").cast("int")).cast("long")
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), block_counts))
     leaf_groups = F.array(*(F.lit(group_of.get(i, 0)) for i in range(len(tree.leaf_of))))
     part_counts = F.array(*map(F.lit, parts))
     placed = index.select(
@@ -276,7 +284,7 @@ def nearest(
     placed = placed.select(
         "*",
         F.pmod(F.xxhash64("vec_id", "vec"), F.get(part_counts, F.col("group").cast("int"))).alias("part"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"),
+        F.explode(F.filter(F.sequence(F.lit(0).cast("long"), block_counts), lambda b: b < block_counts)).alias("block"),
     )
 
     def search(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:

@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from cohortlens.llm import ann
 from cohortlens.llm.ann import fit_tree, nearest
 
 
@@ -60,3 +61,16 @@ def test_queries_in_small_leaves_get_k_rows(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = nearest(df, F.col("vec_id") < 60, k=20, target=0.05).groupBy("query_id").count().collect()
     assert len(got) == 60 and all(r["count"] == 20 for r in got)
+
+
+def test_blocks_of_queries_change_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(9, 8)) * 5
+    rows = [(i, (centres[0 if i % 3 else i % 9] + rng.normal(size=8)).tolist()) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+
+    def found(block):
+        monkeypatch.setattr(ann, "BLOCK_QUERIES", block)
+        return sorted(map(tuple, nearest(df, F.col("vec_id") % 4 == 0, k=5).collect()))
+
+    assert found(7) == found(8192) and len(found(8192)) == 5 * 225
