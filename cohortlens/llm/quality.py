@@ -217,14 +217,15 @@ def fit(df: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: s
     chosen = F.shiftrightunsigned(F.xxhash64("key"), 24) < F.lit(limit)
     labels = {
         r["key"]: r["pattern"]
-        for r in voted.where(chosen).dropDuplicates(["key"]).select("key", "pattern").limit(2 * sample).collect()
+        for r in voted.where(chosen).dropDuplicates(["key"]).select("key", "pattern")
+        .orderBy("key").limit(2 * sample).collect()
     }
     rows = docs.where(chosen).dropDuplicates(["key"]).select("key", "text").mapInArrow(
         _features, "key long, at array<long>, value array<double>"
     )
     held = {
         r["key"]: (np.array(r["at"], np.int64), np.array(r["value"]))
-        for r in rows.limit(2 * sample).collect()
+        for r in rows.orderBy("key").limit(2 * sample).collect()
     }
     keys = sorted(k for k in held if k in labels and good[labels[k]] != 0.5 and len(held[k][0]))
     return train([held[k] for k in keys], np.array([good[labels[k]] for k in keys]))

@@ -49,3 +49,37 @@ def test_edge_rows(spark):
 
 def test_votes_on_a_long_text():
     assert Q.votes(b"a b " * 300_000)[2] == "2" and Q.votes(b"") == "0" * Q.LABELLERS
+
+
+def test_estimate_against_single_documents():
+    """Expectation-maximisation document by document, in plain loops."""
+    rng = random.Random(2)
+    patterns = ["".join(rng.choice("0012") for _ in range(Q.LABELLERS)) for _ in range(25)]
+    counts = {p: rng.randint(1, 30) for p in patterns}
+    docs = [p for p, n in counts.items() for _ in range(n)]
+    accuracy = [0.9] * Q.LABELLERS
+    for _ in range(40):
+        good = []
+        for d in docs:
+            keep = reject = 1.0
+            for a, vote in zip(accuracy, d, strict=True):
+                if vote == "1":
+                    keep, reject = keep * a, reject * (1 - a)
+                elif vote == "2":
+                    keep, reject = keep * (1 - a), reject * a
+            good.append(keep / (keep + reject))
+        for j in range(Q.LABELLERS):
+            right = sum(g if d[j] == "1" else 1 - g for g, d in zip(good, docs, strict=True) if d[j] != "0")
+            voted = sum(d[j] != "0" for d in docs)
+            accuracy[j] = min(0.995, max(0.55, (right + 9) / (voted + 10)))
+    got = Q.estimate(counts, rounds=40)
+    for d, g in zip(docs, good, strict=True):
+        assert abs(got[d] - (0.5 if set(d) == {"0"} else g)) < 1e-6
+
+
+def test_fit_does_not_depend_on_the_partitioning(spark):
+    rng = random.Random(7)
+    rows = [(i, junk(rng, 60) if i % 4 == 0 else prose(rng, 80)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one, many = Q.fit(df.repartition(1), 100), Q.fit(df.repartition(7), 100)
+    assert np.array_equal(one, many) and one.any()
