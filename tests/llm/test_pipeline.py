@@ -82,3 +82,12 @@ def test_near_dedup_keeps_one_row_per_component(spark):
     got = [(r.doc_id is None, r.doc_id or 0) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
     assert sorted(got) == sorted(want.values())
     assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
+
+
+def test_rows_that_differ_in_which_column_is_null_are_two(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, text, "en", None, 5), (1, text, None, "en", 5), (1, text, "en", None, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline.near_dedup(spark, docs, "").count() == 1
+    hashed = [(r.lang, r.source) for r in corpus_pipeline.near_dedup(spark, docs.union(docs), "").collect()]
+    assert hashed in ([("en", None)], [(None, "en")])
