@@ -38,12 +38,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     row with the smallest id stays (a null id comes last, the least hash decides between equal
     ids), and of rows equal in every column one.
     """
-    hashed = docs.withColumn("_key", F.xxhash64(*docs.columns))
+    # The hash skips nulls, so which columns are null goes into it as well.
+    row = [*docs.columns, *[F.isnull(c) for c in docs.columns]]
+    hashed = docs.withColumn("_key", F.xxhash64(*row))
     found = near_duplicates(hashed, id_col="_key").select(F.col("doc_id").alias("_key"), "component_id")
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_key"))).alias("first")
     named = found.distinct().join(hashed.select("_key", "doc_id").distinct(), "_key")
     kept = named.groupBy("component_id").agg(first).select(F.col("first._key").alias("_key"))
-    stay = hashed.join(kept, "_key", "left_semi").withColumn("_again", F.xxhash64(F.lit(1), *docs.columns))
+    stay = hashed.join(kept, "_key", "left_semi").withColumn("_again", F.xxhash64(F.lit(1), *row))
     return stay.dropDuplicates(["_key", "_again"]).select(docs.columns)
 
 
