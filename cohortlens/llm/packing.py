@@ -15,18 +15,20 @@ ids are carried through; repeated rows are packed once each; an empty table give
 from __future__ import annotations
 
 import heapq
+import json
 import os
 import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.llm.alignment import _byte_letters as byte_letters
 from cohortlens.llm.common import documents, stored
 
 CAPACITY = 2048
@@ -40,6 +42,22 @@ _PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+")
 # Where Python and the tokenizer differ about white space, or a special token is spelled.
 _ODD = re.compile(r"[\x1c-\x1f]|<\|")
 
+# The same pattern by kinds of bytes, for blocks of Latin-1 texts that each end with a zero byte.
+_BYTES = [chr(i) for i in range(256)]
+_LOWER = np.frombuffer("".join(_BYTES).lower().encode("latin-1"), np.uint8)
+_SPACE, _LETTER, _DIGIT, _OTHER, _END = range(5)
+_KIND = np.array(
+    [
+        _SPACE if c.isspace() else _LETTER if re.match(f"[{_L}]", c) else _DIGIT if re.match(f"[{_N}]", c) else _OTHER
+        for c in _BYTES
+    ],
+    np.uint8,
+)
+_KIND[0] = _END
+_UNSAFE = b"\0\x1c\x1d\x1e\x1f"
+BLOCK = 1 << 20  # bytes of texts divided at a time, at about 30 times as much memory
+LONG = 400  # bytes of a part that the faster library takes
+
 
 def _latin(text: str) -> bool:
     try:
@@ -49,15 +67,72 @@ def _latin(text: str) -> bool:
     return True
 
 
+def divide(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The distinct parts of lower-cased Latin-1 texts and, for all texts, the place of each part in
+    them; the end of a text is a part too, a zero byte."""
+    data = _LOWER[np.frombuffer(b"\0".join([*texts, b""]), np.uint8)]
+    kind = _KIND[data]
+    solid = kind != _SPACE
+    starts = solid.copy()
+    starts[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT) | (kind[1:] == _END)
+    marks = np.flatnonzero((data == ord("'")) & starts)
+    if len(marks):
+        # An apostrophe takes one of the short endings with it; a zero byte follows every text.
+        a, b = data[marks + 1], data[np.minimum(marks + 2, len(data) - 1)]
+        two = np.zeros(len(marks), bool)
+        for x, y in (b"re", b"ve", b"ll"):
+            two |= (a == x) & (b == y)
+        ending = two | np.isin(a, np.frombuffer(b"stmd", np.uint8))
+        marks, size = marks[ending], np.where(two[ending], 3, 2)
+        starts[marks + 1] = False
+        after = marks + size
+        starts[after] |= kind[after] == _LETTER
+    at = np.flatnonzero(starts)
+    offsets = np.append(np.cumsum(solid, dtype=np.int32)[at] - 1, np.count_nonzero(solid)).astype(np.int32)
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(data[solid])]
+    found = pa.Array.from_buffers(pa.binary(), len(at), buffers).dictionary_encode()
+    return found.dictionary, found.indices.to_numpy()
+
+
+@lru_cache
+def never_made(path: str) -> frozenset[str]:
+    """Tokens that merging by rank never makes, not even of their own letters.
+
+    A token stands for two neighbours that would merge into it. If it makes itself, the only
+    neighbours that can come up inside its letters are those of its own rule, so merging whatever
+    spells a token (as the faster library does) is merging by the rules. Tokens that do not make
+    themselves are left out there; they never come up here.
+    """
+    with open(path) as file:
+        model = json.load(file)["model"]
+    suffix = model["end_of_word_suffix"]
+    pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    rank = {p: i for i, p in enumerate(pairs)}
+    letters: dict[str, list[str]] = {}
+    never = set()
+    for a, b in pairs:
+        own = letters.get(a, [a]) + letters.get(b, [b])
+        letters[a + b] = own
+        while len(own) > 1:
+            best, i = min((rank.get(p, len(rank)), i) for i, p in enumerate(zip(own, own[1:], strict=False)))
+            if best == len(rank):
+                never.add(a + b)
+                break
+            own = [*own[:i], own[i] + own[i + 1], *own[i + 2 :]]
+    return frozenset(never) if suffix else frozenset()
+
+
 class Encoder:
-    """Ids of whole texts as little-endian 32-bit bytes, with a bounded memory of parts.
+    """Ids of whole texts as little-endian 32-bit bytes.
 
     White space and the tokenizer's own pattern always divide, so a text's ids are those of its
-    parts in order, and each distinct part goes through the tokenizer once. Chunks outside
-    Latin-1 are parts as they are. Two generations of memory: what is used again is kept.
+    parts in order. Latin-1 texts are divided in blocks, and each distinct part of a block is
+    encoded once, by a faster library with the same vocabulary where that is sure to be the same.
+    Other texts go through the tokenizer by parts, with a bounded memory of two generations: what
+    is used again is kept.
     """
 
-    def __init__(self, path: str, limit: int = 300_000) -> None:
+    def __init__(self, path: str, limit: int = 300_000, never: frozenset[str] | None = None) -> None:
         # Spark runs a task per core; the tokenizer's own threads would only compete with them.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -68,16 +143,87 @@ class Encoder:
         self.limit = limit
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
+        with open(path) as file:
+            self.fast, self.last = self._ranked(json.load(file)["model"], never_made(path) if never is None else never)
+
+    def _ranked(self, model: dict, never: frozenset[str]) -> tuple:
+        """The vocabulary in the faster library, a space standing for the end of a word, and which
+        ids end a word; nothing if ids do not follow the merges."""
+        import tiktoken
+
+        visible, suffix, vocab = byte_letters(), model["end_of_word_suffix"] or "", model["vocab"]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        single = {c: vocab.get(c) for c in visible} | {c + suffix: vocab.get(c + suffix) for c in visible}
+        merged = [vocab.get(a + b) for a, b in pairs]
+        order = range(len(single), len(single) + len(pairs))
+        if not suffix or sorted(single.values(), key=lambda i: -1 if i is None else i) != list(range(len(single))) or merged != list(order):
+            return None, None
+        last = np.zeros(len(single) + len(pairs), bool)
+        ranks: dict[bytes, int] = {}
+        ended = {c + suffix for c in visible}
+        spelled = {c: bytes([x]) for c, x in visible.items()}
+        spelled |= {c + suffix: bytes([x]) + b" " for c, x in visible.items()}
+        for a, b in pairs:
+            spelled[a + b] = spelled[a] + spelled[b]
+            if b in ended:
+                ended.add(a + b)
+        for token, raw in spelled.items():
+            last[vocab[token]] = token in ended
+            if token not in never:
+                ranks[raw] = vocab[token]
+        if len(ranks) != len(spelled) - len(never):
+            return None, None
+        return tiktoken.Encoding("words", pat_str=r"[^ ]+ ", mergeable_ranks=ranks, special_tokens={}), last
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
+    def _ids_of(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of distinct parts, and for each part its first place among them and their number."""
+        own = parts.to_pylist()
+        short = [i for i, p in enumerate(own) if p != b"\0" and len(p) <= LONG]
+        text = b" ".join([*(own[i] for i in short), b""]).decode("latin-1")
+        ids = [np.array(self.fast.encode_ordinary(text), "<u4")]
+        ends = np.flatnonzero(self.last[ids[0]]) + 1
+        if len(ends) != len(short):
+            raise RuntimeError("the two tokenizer libraries divide words differently")
+        first, size = np.zeros(len(own), np.int32), np.zeros(len(own), np.int32)
+        size[short] = np.diff(ends, prepend=0)
+        first[short] = ends - size[short]
+        at = len(ids[0])
+        for i, p in enumerate(own):
+            if len(p) > LONG:
+                ids.append(np.frombuffer(self._encode([p.decode("latin-1")])[0], "<u4"))
+                first[i], size[i] = at, len(ids[-1])
+                at += len(ids[-1])
+        return np.concatenate(ids), first, size
+
+    def _block(self, texts: list[bytes]) -> list[bytes]:
+        parts, number = divide(texts)
+        ids, first, size = self._ids_of(parts)
+        n = size[number]
+        to = np.cumsum(n, dtype=np.int32)
+        whole = ids[np.arange(to[-1], dtype=np.int32) + np.repeat(first[number] - to + n, n)]
+        end = parts.index(pa.scalar(b"\0", parts.type)).as_py()
+        bounds = [0, *to[number == end].tolist()]
+        return [whole[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
+
+    def _segments(self, raw: bytes) -> Iterator[bytes]:
+        """A long text cut at blanks into about ``BLOCK`` bytes each."""
+        lo = 0
+        while len(raw) - lo > BLOCK:
+            hi = raw.rfind(b" ", lo + 1, lo + BLOCK)
+            hi = hi if hi > 0 else raw.find(b" ", lo + BLOCK)
+            if hi < 0:
+                break
+            yield raw[lo:hi]
+            lo = hi
+        yield raw[lo:]
+
     def _divide(self, text: str) -> list[str]:
         if _ODD.search(text):
             return [text]
-        if _latin(text):
-            return _PARTS.findall(text.lower())
         parts: list[str] = []
         for chunk in text.split():
             if _latin(chunk):
@@ -86,7 +232,7 @@ class Encoder:
                 parts.append(chunk)
         return parts
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    def _by_parts(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.limit:
             self.before, self.known = self.known, {}
         known, before = self.known, self.before
@@ -99,29 +245,61 @@ class Encoder:
             known.update(zip(new, self._encode(new), strict=True))
         return [b"".join(map(known.__getitem__, parts)) for parts in divided]
 
+    def _plain(self, text: str) -> bytes | None:
+        """The text in Latin-1, if the faster way can take it."""
+        if self.fast is None or "<|" in text or not _latin(text):
+            return None
+        raw = text.encode("latin-1")
+        return raw if len(raw.translate(None, _UNSAFE)) == len(raw) else None
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        out, block, held, rest = [b""] * len(texts), [], 0, []
+
+        def flush() -> None:
+            for (i, _), ids in zip(block, self._block([raw for _, raw in block]), strict=True):
+                out[i] += ids
+            block.clear()
+
+        for i, text in enumerate(texts):
+            plain = self._plain(text)
+            if plain is None:
+                rest.append(i)
+                continue
+            for raw in self._segments(plain):
+                if block and held + len(raw) > BLOCK:
+                    flush()
+                    held = 0
+                block.append((i, raw))
+                held += len(raw)
+        if block:
+            flush()
+        for i, ids in zip(rest, self._by_parts([texts[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
+
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, never: frozenset[str] | None = None) -> Encoder:
     """One encoder per worker process and vocabulary."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, never=never)
     return _ENCODERS[path]
 
 
 def _cut(
-    batches: Iterator[pa.RecordBatch], path: str, capacity: int, piece: int
+    batches: Iterator[pa.RecordBatch], path: str, never: frozenset[str], capacity: int, piece: int
 ) -> Iterator[pa.RecordBatch]:
-    """Pieces of every document of a batch, about a million characters at a time."""
-    encode = encoder(path)
+    """Pieces of every document of a batch, about ``BLOCK`` characters at a time."""
+    encode = encoder(path, never)
     closing = np.array([CLOSING_ID], "<u4").tobytes()
     for batch in batches:
         ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
         at = 0
         while at < len(texts):
             end, size, some = at, 0, []
-            while end < len(texts) and (size < 1_000_000 or not some):
+            while end < len(texts) and (size < BLOCK or not some):
                 some.append(texts[end].as_py())
                 size += len(some[-1])
                 end += 1
@@ -219,7 +397,7 @@ def pack(
     taken from the ids of the placed piece.
     """
     cut = documents(df, id_col, text_col).mapInArrow(
-        partial(_cut, path=vocabulary, capacity=capacity, piece=piece),
+        partial(_cut, path=vocabulary, never=never_made(vocabulary), capacity=capacity, piece=piece),
         "doc_id long, start long, length long, doc_tokens long, ids array<int>",
     )
     # The written pieces are numbered by file and row, so a repeated task numbers them alike.

@@ -99,3 +99,54 @@ def test_digest_is_that_of_the_placed_ids():
     assert [r["ids"] for r in got] == [ids[1], ids[2], ids[0]]
     assert all(r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes()) for r in got)
     assert len({r["sequence_id"] for r in got}) == 1 and got[0]["sequence_id"] == 3 * 2 * packing.BATCH
+
+
+LATIN = st.characters(min_codepoint=0, max_codepoint=255)
+TRICKY = st.sampled_from(["'s", "'re", "''ll", "'", " ", "\n", "..", "!'", "d", "7", "½", "É", "\xa0", "\x85", "\x00", "\x1d", "<|", "ab'tcd", "a" * 500])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.text(LATIN, max_size=12), TRICKY).map(str), max_size=12), st.integers(1, 60))
+def test_blocks_of_latin_texts(parts, block):
+    """Joined in several ways, cut into blocks of any size."""
+    texts = ["".join(parts), " ".join(parts), *parts]
+    encode = packing.encoder(PATH)
+    was, packing.BLOCK = packing.BLOCK, block
+    try:
+        got = encode(texts)
+    finally:
+        packing.BLOCK = was
+    for text, raw in zip(texts, got, strict=True):
+        assert np.frombuffer(raw, "<u4").tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_every_token_makes_itself_and_the_libraries_agree(tokenizer):
+    """What the faster library needs to give the same ids; every entry of the vocabulary as a word."""
+    import pyarrow as pa
+
+    assert packing.never_made(PATH) == frozenset()
+    encode = packing.encoder(PATH)
+    assert encode.fast is not None
+    letters = {chr(i) for i in range(256)} - {chr(0)}
+    words = {t.replace("</w>", "").lower() for t in tokenizer.get_vocab()}
+    words = sorted({p for w in words if set(w) <= letters for p in packing._PARTS.findall(w)})
+    ids, first, size = encode._ids_of(pa.array([w.encode("latin-1") for w in words], pa.binary()))
+    for i, raw in enumerate(encode._encode(words)):
+        assert ids[first[i] : first[i] + size[i]].tobytes() == raw, words[i]
+
+
+def test_a_vocabulary_without_that_order_goes_by_parts(tmp_path):
+    import json
+
+    with open(PATH) as file:
+        spec = json.load(file)
+    vocab = spec["model"]["vocab"]
+    a, b = sorted(vocab, key=vocab.get)[600:602]
+    vocab[a], vocab[b] = vocab[b], vocab[a]
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec))
+    encode = packing.Encoder(str(path))
+    assert encode.fast is None
+    for text in TEXTS[1:8]:
+        whole = encode.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encode([text])[0], "<u4").tolist() == whole
