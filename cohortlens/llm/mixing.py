@@ -28,6 +28,7 @@ from cohortlens.llm.common import stored
 GRID = 64
 PASSES = 7  # 64 ** -7 is beyond double precision
 BLOCK_ROWS = 512  # documents that share a block, on average
+PART_BITS = 10  # parts of a source's permutation: one window holds at most 2**10 rows of a source
 REPETITIONS = 2.0
 
 
@@ -141,10 +142,20 @@ def mix_sources(
         F.sum("n_tokens").alias("size"),
         F.first(F.col("budget") - F.col("full") * F.col("tokens")).alias("left"),
     )
-    before = F.sum("size").over(
-        W.partitionBy("source").orderBy("block_order", "block").rowsBetween(W.unboundedPreceding, -1)
+    # Sums over parts of the permutation first, then inside a part: no task sorts a source's blocks.
+    sizes = stored(sizes.withColumn("part", F.shiftright("block_order", 64 - PART_BITS)), "block-sizes")
+    earlier = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    parts = sizes.groupBy("source", "part").agg(F.sum("size").alias("size"))
+    parts = parts.select(
+        F.col("source").alias("s"), F.col("part").alias("p"),
+        F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("parts_before"),
+    )
+    within = F.sum("size").over(
+        W.partitionBy("source", "part").orderBy("block_order", "block").rowsBetween(W.unboundedPreceding, -1)
     )
-    sizes = sizes.withColumn("before", F.coalesce(before, F.lit(0)))
+    sizes = sizes.withColumn("within", F.coalesce(within, F.lit(0)))
+    sizes = sizes.join(parts, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
+    sizes = sizes.withColumn("before", F.col("parts_before") + F.col("within")).drop("s", "p")
     opened = stored(
         sizes.where("before < left").select(
             F.col("source").alias("s"), F.col("block").alias("b"), "before", "left",

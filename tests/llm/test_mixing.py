@@ -62,3 +62,31 @@ def test_tokens(strings):
 
     got = strings([None, "", "  ", "a", " a\tb\n\nc "]).orderBy("i").select(tokens(F.col("s"))).collect()
     assert [r[0] for r in got] == [0, 0, 0, 1, 3]
+
+
+def test_last_epoch_against_brute_force(spark, monkeypatch):
+    """Blocks in their order until the budget is met, in the last one document by document."""
+    from cohortlens.llm import mixing
+
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(mixing, "PART_BITS", 3)
+    rows = [r for r in rows_of() if r[2] in ("big", "small") and r[0] is not None]
+    rows = rows[:900] + rows[-250:]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, block int").dropDuplicates(["doc_id"])
+    every = mix_sources(df, repetition_limit=1.0, budget=10**6).collect()  # whole epochs
+    some = mix_sources(df, repetition_limit=1.0, budget=2_500).collect()
+    assert {r.epoch for r in some} == {0}
+    by_source = defaultdict(list)
+    for r in every:
+        if r.epoch == 0:
+            by_source[r.source].append(r)
+    total = sum(r.n_tokens for own in by_source.values() for r in own)
+    want = set()
+    for source, own in by_source.items():
+        budget = round(2_500 * sum(r.n_tokens for r in own) / total)
+        spent = 0
+        for r in sorted(own, key=lambda r: (r.block_order, r.block, r.doc_order)):
+            if spent < budget:
+                want.add((source, r["row"]["doc_id"]))
+            spent += r.n_tokens
+    assert {(r.source, r["row"]["doc_id"]) for r in some} == want
