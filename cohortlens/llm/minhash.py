@@ -14,8 +14,10 @@ follow each other; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,8 +27,10 @@ from cohortlens.llm.common import documents, row_key, stored
 SIZE = 5
 BINS = 128  # two bitmaps of 64 bins
 BITS = 8
-RANGE_ROWS = 20_000  # documents in a range of ids, on average
+RANGE_ROWS = 2_000  # documents in a range of ids, on average
 MAX_RANGES = 32_768  # bounds the list of range ends that the driver holds
+MAX_HOT = 1_000  # ids that can have a share of their own of the rows
+SUBRANGES = 256  # ranges that such an id is divided into
 
 _WHITE = "\t\n\x0b\x0c\r"
 
@@ -125,17 +129,44 @@ def likeness(a: str, b: str) -> Column:
 
 
 def _range_of(column: str, ends: list[int]) -> Column:
-    """How many range ends lie below the id, by bisection; 0 for null ids."""
-    if not ends:
-        return F.lit(0)
-    list_of_ends = F.array(*map(F.lit, ends))
-    steps = [1 << k for k in range(len(ends).bit_length() - 1, -1, -1)]
-    place = F.aggregate(
-        F.array(*map(F.lit, steps)),
-        F.lit(0),
-        lambda at, step: F.when(F.get(list_of_ends, at + step - 1) < F.col(column), at + step).otherwise(at),
-    )
-    return F.when(F.col(column).isNull(), 0).otherwise(place)
+    """How many range ends lie below the id, by bisection; -1 for null ids."""
+    place = F.lit(0)
+    if ends:
+        list_of_ends = F.lit(np.array(ends, np.int64))
+        steps = [1 << k for k in range(len(ends).bit_length() - 1, -1, -1)]
+        place = F.aggregate(
+            F.array(*map(F.lit, steps)),
+            F.lit(0),
+            lambda at, step: F.when(F.get(list_of_ends, at + step - 1) < F.col(column), at + step).otherwise(at),
+        )
+    return F.when(F.col(column).isNull(), -1).otherwise(place)
+
+
+def _with_range(docs: DataFrame) -> DataFrame:
+    """Adds ``range``, a number that ascends with (doc_id, key) and divides the rows evenly.
+
+    Ranges end at quantiles of the ids. An id of very many rows (null, too) is a range of its own,
+    divided once more by the leading bits of the key.
+    """
+    count = docs.select("doc_id").count()
+    ranges = min(MAX_RANGES, -(-count // RANGE_ROWS))
+    shares = [i / ranges for i in range(1, ranges)]
+    ends = set()
+    if shares:
+        ends |= set(docs.agg(F.percentile_approx("doc_id", shares, 10 * ranges + 1000)).head()[0] or [])
+    many = docs.groupBy("doc_id").count().where(F.col("count") > max(10 * RANGE_ROWS, count // MAX_HOT))
+    hot = {r["doc_id"] for r in many.select("doc_id").collect()}  # at most MAX_HOT
+    known = hot - {None}
+    ends |= known | {i - 1 for i in known if i > -(1 << 63)}
+    order = sorted(ends)
+    own = sorted([bisect.bisect_left(order, i) for i in known] + [-1] * (None in hot))
+    place = _range_of("doc_id", order).cast("long")
+    ranged = docs.withColumn("range", place * SUBRANGES)
+    if not own:
+        return ranged
+    part = F.shiftright("key", 64 - SUBRANGES.bit_length() + 1) + SUBRANGES // 2
+    own_range = F.col("range").isin([i * SUBRANGES for i in own])
+    return ranged.withColumn("range", F.col("range") + F.when(own_range, part).otherwise(0))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -145,15 +176,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     for the last row of a range the first of the next one. ``docs`` has doc_id, text, key and
     signature.
     """
-    count = docs.select("doc_id").count()
-    ranges = min(MAX_RANGES, -(-count // RANGE_ROWS))
-    shares = [i / ranges for i in range(1, ranges)]
-    ends = []
-    if shares:
-        ends = docs.agg(F.percentile_approx("doc_id", shares, 10 * ranges + 1000)).head()[0] or []
-    ranged = docs.withColumn("range", _range_of("doc_id", sorted(set(ends))))
+    ranged = _with_range(docs)
 
-    # One row per range: at most MAX_RANGES, so one small window may hold them.
+    # One row per range: at most MAX_RANGES + (2 + SUBRANGES) * MAX_HOT, so one window may hold them.
     firsts = stored(
         ranged.groupBy("range").agg(F.min(F.struct("doc_id", "key")).alias("f")), "range-starts"
     )

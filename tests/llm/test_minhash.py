@@ -125,3 +125,23 @@ def test_probes_are_independent():
     fixed = spread(lambda: sequences)
     free = spread(lambda: [[own.randrange(M.BINS) for _ in range(40)] for _ in range(M.BINS)])
     assert fixed < 1.15 * free
+
+
+def test_ids_of_very_many_rows_are_divided(spark, monkeypatch):
+    monkeypatch.setattr(M, "RANGE_ROWS", 3)
+    monkeypatch.setattr(M, "MAX_HOT", 40)
+    rows = [(None, f"null {i} text of several more words") for i in range(70)]
+    rows += [(50, f"fifty {i} text of several more words") for i in range(80)]
+    rows += [(i, f"id {i} text of several more words") for i in range(0, 100, 3)] + [(-(1 << 63), "least of all ids")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = df.select("doc_id", "text", M.row_key().alias("key"))
+    placed = M._with_range(keyed).collect()
+    order = sorted(placed, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.key))
+    assert [r["range"] for r in order] == sorted(r["range"] for r in placed)
+    assert len({r["range"] for r in placed if r.doc_id is None}) > 20 < len({r["range"] for r in placed if r.doc_id == 50})
+    after = {r.text: order[(k + 1) % len(order)].text for k, r in enumerate(order)}
+    got = M.compare_with_edits(df.repartition(3)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        n = len(r.text) // 4
+        assert r.edited == r.text[: len(r.text) - n] + after[r.text][:n]
