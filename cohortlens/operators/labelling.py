@@ -130,11 +130,13 @@ def best_synonym_by_join(
     """X2 for a table (dimension, value, word, place) of any size: one row per text, with
     ``dimension`` and ``value`` of the longest word that occurs, the least ``place`` on a tie;
     null where no word occurs."""
-    hits = word_hits_by_join(df, key, text, values.select("dimension", "value", "word", "place"), match)
     named = F.struct("dimension", "value", "word")
-    best = hits.groupBy(*key).agg(
-        F.min(F.struct((-F.length("word")).alias("n"), F.col("place"), named.alias("v"))).alias("_b")
-    )
+    ranked = F.struct((-F.length("word")).alias("n"), F.col("place"), named.alias("v"))
+    # Of the entries with one word a text that has it can only take the first: texts meet words, however
+    # many values share one.
+    words = values.where("word IS NOT NULL").groupBy("word").agg(F.min(ranked).alias("_first"))
+    hits = word_hits_by_join(df, key, text, words, match)
+    best = hits.groupBy(*key).agg(F.min("_first").alias("_b"))
     best = best.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], "_b.v.dimension", "_b.v.value")
     same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)]
     return df.join(best, same, "left").select(*key, "dimension", "value")

@@ -382,3 +382,16 @@ def test_best_synonym_and_mentions_of_a_table(spark):
     filters = {(r.k, r.field): (r.op, r["values"]) for r in X.filters_by_join(df, ["k"], "text", table.withColumnRenamed("dimension", "field")).collect()}
     plain = {(r.k, f.field): (f.op, sorted(f["values"])) for r in X.with_filters(df, "text", values).collect() for f in r.filters}
     assert filters == plain
+
+
+def test_values_that_share_a_word_meet_texts_once(spark, monkeypatch):
+    """However many values have one word, only the first of them is compared with texts."""
+    rows = [("d", f"v{i:04d}", "ring", 5000 - i) for i in range(3000)] + [("d", "early", "bolt", 7), ("e", "same", "RING", 1)]
+    table = spark.createDataFrame([*rows, ("d", "none", None, 0)], "dimension string, value string, word string, place int")
+    df = spark.createDataFrame([(1, "a ring"), (2, "bolt or ring"), (None, "bolt"), (4, "")], "k int, text string")
+    met = []
+    join = X.word_hits_by_join
+    monkeypatch.setattr(X, "word_hits_by_join", lambda d, k, t, words, m: met.append(words.count()) or join(d, k, t, words, m))
+    got = {r.k: (r.dimension, r.value) for r in X.best_synonym_by_join(df, ["k"], "text", table).collect()}
+    assert got == {1: ("e", "same"), 2: ("e", "same"), None: ("d", "early"), 4: (None, None)}
+    assert met == [3]
