@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions import labels as L
+from cohortlens.sources.scratch import scratch_path
 
 
 def lexicon_scores(
@@ -35,17 +36,21 @@ def word_hits_by_join(
     text's runs of as many words, one equality join. Entries that may occur anywhere meet the text
     by their rarest run of up to ``GRAM`` characters, and what meets is searched for in the text. No
     text is compared with an entry that shares no such run. ``key`` identifies a row; empty words
-    match nothing; each entry counts once per text.
+    match nothing; each entry counts once per text. What entries are looked up by is stored in the
+    scratch folder: its size is known then, and a small lexicon is sent to the texts before their
+    runs are shuffled.
     """
     if match not in ("substring", "token"):
         raise ValueError(f"unknown match mode: {match!r}")
     entries = lexicon.where("word IS NOT NULL").distinct().withColumn("_low", F.lower("word"))
     alone = F.lit(match == "token") & ~F.rlike("word", F.lit(r"[^\x00-\x7f]"))
-    texts = df.select(*key, F.lower(text).alias("_text"))
+    # Read three times below; dealt out, because a compressed file has few splits.
+    texts = _stored(df.select(*key, F.lower(text).alias("_text")).repartition(*key), "texts")
     columns = [*key, *lexicon.columns]
     phrases = entries.where(alone).withColumn("_phrase", _run_of_words("_low"))
+    phrases = _stored(phrases.where("_phrase <> ''"), "phrases")
     return (
-        _phrase_hits(texts, phrases.where("_phrase <> ''")).select(columns)
+        _phrase_hits(texts, phrases).select(columns)
         .union(_gram_hits(texts, key, entries.where(~alone & (F.col("_low") != ""))).select(columns))
     )
 
@@ -53,6 +58,12 @@ def word_hits_by_join(
 GRAM = 3  # characters by which an entry is looked up
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _run_of_words(low: str) -> Column:
     return F.trim(F.regexp_replace(low, L.NOT_WORD, " "))
 
@@ -86,17 +97,26 @@ def _grams(low: str, sizes: Sequence[int]) -> tuple[Column, Column]:
     return chars, F.array_distinct(F.concat(*[F.coalesce(runs(n), none) for n in sizes]))
 
 
+def _text_grams(low: str, sizes: Sequence[int]) -> Column:
+    """All runs of the given sizes, each once; compiled, where ``_grams`` is interpreted per character.
+
+    Around characters beyond the first plane there are a few runs more, which no entry has.
+    """
+    runs = [F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes]
+    return F.array_distinct(F.concat(*runs))
+
+
 def _gram_hits(texts: DataFrame, key: Sequence[str], entries: DataFrame) -> DataFrame:
     chars, grams = _grams("_low", range(1, GRAM + 1))
     own = entries.withColumn("_chars", chars).withColumn("_gram", F.explode(grams)).drop("_chars")
     # An entry's grams are of one size: GRAM, or its own length.
-    own = own.where(F.length("_gram") == F.least(F.lit(GRAM), F.length("_low")))
+    own = _stored(own.where(F.length("_gram") == F.least(F.lit(GRAM), F.length("_low"))), "grams")
     # At most GRAM rows; texts are cut into runs of these sizes only.
-    size = F.least(F.lit(GRAM), F.length("_low")).alias("n")
-    chars, grams = _grams("_text", sorted(r.n for r in entries.select(size).distinct().collect()) or [GRAM])
-    seen = texts.withColumn("_chars", chars).withColumn("_gram", F.explode(grams)).select(*key, "_gram")
+    sizes = sorted(r.n for r in own.select(F.length("_gram").alias("n")).distinct().collect()) or [GRAM]
+    seen = texts.select(*key, F.explode(_text_grams("_text", sizes)).alias("_gram"))
     needed = own.select("_gram").distinct()
-    seen = seen.join(needed, "_gram", "left_semi")
+    # Read twice below, and much less than all runs.
+    seen = _stored(seen.join(needed, "_gram", "left_semi"), "seen")
     # A gram that no text has rules its entry out; of the others the rarest finds it.
     common = seen.groupBy("_gram").agg(F.count("*").alias("_n"))
     rest = [c for c in own.columns if c != "_gram"]
@@ -104,7 +124,7 @@ def _gram_hits(texts: DataFrame, key: Sequence[str], entries: DataFrame) -> Data
         F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("g"))).alias("_best")
     )
     found = ranked.where("_best.n > 0").withColumn("_gram", F.col("_best.g")).drop("_best")
-    met = seen.join(found, "_gram").drop("_gram")
+    met = seen.join(_stored(found, "rarest"), "_gram").drop("_gram")
     named = texts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], "_text")
     same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)]
     return met.join(named, same).where(F.contains("_text", "_low"))
