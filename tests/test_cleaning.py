@@ -319,3 +319,18 @@ def test_rows_that_share_a_hash_both_stay(spark):
     df = spark.createDataFrame([("a", None), (None, "a"), ("a", None)], "s string, t string")
     assert df.select(F.xxhash64("s", "t")).distinct().count() == 1
     assert sorted(map(str, Q.drop_copies_of_wide_rows(df).collect())) == ["Row(s='a', t=None)", "Row(s=None, t='a')"]
+
+
+def test_wide_rows_beyond_the_limit_of_hashes(spark):
+    """Many repeated rows: those that occur once still go past the shuffle of whole rows."""
+    rows = [(i % 700, f"n{i % 700}", None if i % 3 else float(i % 700)) for i in range(900)] + [(None, None, None)] * 3
+    df = spark.createDataFrame(rows, "a int, b string, c double").repartition(3, "a")
+    found = Q.drop_copies_of_wide_rows(df, max_hashes=0)
+    assert "Union" in plan_of(found)
+    assert bag_of(found) == bag_of(df.distinct())
+    aggregates = spark.createDataFrame([(i, f"n{i}", None) for i in range(50)], df.schema)
+    assert bag_of(Q.drop_copies_of_wide_rows(aggregates, max_hashes=-1)) == bag_of(aggregates)
+
+
+def bag_of(df):
+    return sorted(str(tuple(r)) for r in df.collect())
