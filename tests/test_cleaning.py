@@ -1,6 +1,9 @@
+import re
+
 import pytest
 from conftest import plan_of
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from cohortlens.functions import numbers as N
 from cohortlens.functions import text as X
@@ -9,6 +12,7 @@ from cohortlens.operators import quality as Q
 from cohortlens.plans.clean_job import clean_and_report
 from cohortlens.presets import discharge
 from cohortlens.presets import fixed_values as fv
+from cohortlens.session import for_wide_rows
 from cohortlens.sources import tables as T
 from cohortlens.sources.scratch import scratch_path
 from cohortlens.streaming.incremental import append_clean_files
@@ -334,3 +338,41 @@ def test_wide_rows_beyond_the_limit_of_hashes(spark):
 
 def bag_of(df):
     return sorted(str(tuple(r)) for r in df.collect())
+
+
+def test_packed_texts_count_like_plain_columns(spark):
+    texts = [None, "", "a", "\x01", "\x02", "a\x01", "a\x02b", " "]
+    rows = [(a, b, n, x) for a in texts for b in texts for n, x in ((1, 0.0), (1, -0.0), (None, float("nan")))]
+    df = spark.createDataFrame(rows * 2, "`a.b` string, b string, n int, x double").repartition(3)
+    counted = Q.count_copies(df)
+    assert counted.columns == [*df.columns, Q.COPIES]
+    plain = df.groupBy("`a.b`", "b", "n", "x").agg(F.count(F.lit(1)).alias(Q.COPIES))
+    assert sorted(map(str, counted.collect())) == sorted(map(str, plain.collect()))
+    back = Q.unpack_texts(Q.pack_texts(df).withColumn("more", F.lit(1)), df.schema)
+    assert back.columns == [*df.columns, "more"]
+    assert sorted(map(str, back.drop("more").collect())) == sorted(map(str, df.collect()))
+
+
+def test_the_texts_of_wide_rows_are_shuffled_as_one(df):
+    texts = [f.name for f in df.schema if f.dataType == StringType()]
+    shuffles = re.findall(r"hashpartitioning\((.*?), \d+\)", plan_of(Q.count_copies(df)))
+    assert len(shuffles) == 1 and len(texts) > 20
+    assert len(shuffles[0].split(", ")) <= len(df.columns) - len(texts) + 8  # normalised doubles take more words
+
+
+@pytest.mark.parametrize("raw_files", [True, False])
+def test_settings_of_a_job_over_wide_rows_are_put_back(spark, raw_files):
+    names = ["spark.sql.codegen.hugeMethodLimit", "spark.sql.files.maxPartitionBytes"]
+    before = [spark.conf.get(n) for n in names]
+    try:
+        for method, split, then in (("65535", "128MB", ["8000", "32m"]), ("100", "1000", ["100", "1000"])):
+            now = [method, split]
+            for n, v in zip(names, now, strict=True):
+                spark.conf.set(n, v)
+            with pytest.raises(KeyError), for_wide_rows(spark, raw_files):
+                assert [spark.conf.get(n) for n in names] == (then if raw_files else [then[0], split])
+                raise KeyError
+            assert [spark.conf.get(n) for n in names] == now
+    finally:
+        for n, v in zip(names, before, strict=True):
+            spark.conf.set(n, v)
